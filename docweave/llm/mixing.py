@@ -76,18 +76,34 @@ def flight(size: np.ndarray, part: np.ndarray, rng: np.random.Generator, land: b
             part[i] = 0.0 if x < 1e-9 else 1.0 if x > 1 - 1e-9 else x
         held = [i for i in held if 0.0 < part[i] < 1.0]
     if land:
-        # two rows at most: of their four outcomes the one whose words come nearest, documents next
-        best = None
-        for pick in range(1 << len(held)):
-            got = [pick >> i & 1 for i in range(len(held))]
-            off = (abs(sum((g - part[i]) * size[i] for g, i in zip(got, held, strict=True))), abs(sum(g - part[i] for g, i in zip(got, held, strict=True))))
-            if best is None or off < best[0]:
-                best = (off, got)
-        for g, i in zip(best[1], held, strict=True):
-            part[i] = float(g)
+        _land(size, part, held)
     return np.array(part)
 
 
+def _land(size: list[float], part: list[float], held: list[int]) -> None:
+    """Settle the held rows, two at most, then turn over up to two settled rows if that brings the words still nearer to what was meant."""
+    picks = [[float(pick >> k & 1) for k in range(len(held))] for pick in range(1 << len(held))]
+    off_by = [sum((g - part[i]) * size[i] for g, i in zip(got, held, strict=True)) for got in picks]
+    best = min(range(len(picks)), key=lambda k: (abs(off_by[k]), abs(sum(picks[k]))))
+    for g, i in zip(picks[best], held, strict=True):
+        part[i] = g
+    off = off_by[best]
+    # a turn adds or takes the row's words; entry 0 stands for no turn
+    turns = np.array([0.0] + [-s if p else s for s, p in zip(size, part, strict=True)])
+    order = np.argsort(turns, kind="stable")
+    ranked = turns[order]
+    near = np.searchsorted(ranked, -off - turns)
+    found = (abs(off), 0, 0)
+    for shift in (-1, 0):
+        other = order[np.clip(near + shift, 0, len(order) - 1)]
+        left = np.where((other == np.arange(len(turns))) & (other > 0), np.inf, np.abs(off + turns + turns[other]))
+        k = int(left.argmin())
+        found = min(found, (float(left[k]), k, int(other[k])))
+    for k in found[1:]:
+        if k:
+            part[k - 1] = 1.0 - part[k - 1]
+
+
 def _fly(land: bool):
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([(c, "ascending") for c in ("row", "size", "part")])

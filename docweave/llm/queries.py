@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docweave.llm import bpe, licenses, linededup, minhash, mixing
+from docweave.llm import ann, bpe, licenses, linededup, minhash, mixing, topk
 from docweave.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -23,6 +24,21 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+
+
+def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = _vectors(spark, sf_dir).where(topk.usable(F.col("vector"))).select("id", F.transform("vector", lambda x: F.floor(x * 256.0).cast("double")).alias("vector"))
+    found = topk.top_k(whole, whole.where("id % 50 = 0"), 5)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
+
+
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _vectors(spark, sf_dir)
+    return ann.nearest(vectors, vectors.where("id % 50 = 0"), 5).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs).drop("spans")
@@ -41,9 +57,23 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_mix": op3_mix,
+    "op4_top_k": op4_top_k,
     "op6_license_scan": op6_license_scan,
     "op7_minhash": op7_minhash,
+    "op8_permutation_index": op8_permutation_index,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Where SQL is fast enough on whole tables.
+ORACLE_SQL: dict[str, str] = {
+    "op4_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+        SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5
+    """,
+}
