@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import ann, bpe, licenses, linededup, minhash, mixing, topk
+from docweave.llm import ann, bpe, licenses, linededup, minhash, mixing, quality, sharding, topk
 from docweave.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(table(spark, sf_dir, "documents"), shards=40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode_decode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -49,18 +54,27 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(docs).select("doc_id", "class_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return linededup.dedup_lines(docs, counts=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shard": op1_shard,
     "op2_bpe": op2_bpe,
     "op3_mix": op3_mix,
     "op4_top_k": op4_top_k,
     "op6_license_scan": op6_license_scan,
     "op7_minhash": op7_minhash,
     "op8_permutation_index": op8_permutation_index,
+    "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
 
