@@ -18,15 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df under the shared folder in spark.checkpoint.dir and go on from there, so lost executors cost no long recomputation.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; only where it is missing (tests on one machine) a local one stands in."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docweave-checkpoints-"))
+    return context.getCheckpointDir()
 
-    Only where that setting is missing (tests on one machine) a local folder stands in.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="docweave-checkpoints-"))
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df under the shared folder and go on from there, so that lost executors cost no long recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import ann, bpe, licenses, linededup, minhash, mixing, quality, sharding, topk
+from docweave.llm import ann, bpe, licenses, linededup, minhash, mixing, quality, sharding, token_counts, topk
 from docweave.llm.common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -44,6 +44,15 @@ def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("id % 50 = 0"), 5).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after three edits of every document: words put in, characters taken out, a closing line."""
+    n = F.char_length(F.coalesce("text", F.lit(""))).cast("long")
+    edit = lambda start, delete, insert: F.struct(start.cast("long").alias("start"), F.lit(delete).cast("long").alias("delete"), F.lit(insert).alias("insert"))
+    edits = F.array(edit(F.floor(n / 2), 0, " (as amended in 2024) "), edit(F.floor(n / 3), 7, ""), edit(n + 15, 0, "\nUpdated."))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits"))
+    return token_counts.count_tokens(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, edits="edits")
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan(docs).drop("spans")
@@ -71,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_mix": op3_mix,
     "op4_top_k": op4_top_k,
+    "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
     "op7_minhash": op7_minhash,
     "op8_permutation_index": op8_permutation_index,
