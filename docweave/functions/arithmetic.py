@@ -69,20 +69,10 @@ def _rounded(name: str, e: Any, scope: Scope) -> Val:
         raise InvalidArgument(f"{name}: place lies between -20 and 100")
     scale = F.pow(F.lit(10.0), p.cast("double"))
     y = x * scale
-    towards_zero = F.when(y >= 0, _floor(y)).otherwise(-_floor(-y))
-    if name == "$trunc":
-        made = towards_zero
-    else:  # half away from zero
-        part = F.abs(y - towards_zero)
-        made = towards_zero + F.when(part >= 0.5, F.signum(y)).otherwise(F.lit(0.0))
+    made = y - F.try_mod(y, F.lit(1.0)) if name == "$trunc" else F.round(y, 0)  # half away from zero
     return number(made / scale, v.integral or place is None)
 
 
-def _floor(y: Column) -> Column:
-    near = F.rint(y)
-    return F.when(near > y, near - 1).otherwise(near)
-
-
 #: name: (function, condition that is an error, what is wrong)
 _NULLABLE = {
     "$exp": (F.exp, None),

@@ -160,7 +160,12 @@ def _reduce(name: str, e: Any, scope: Scope) -> Val:
     kind = first.type if not first.null else a.type.elementType
     for _ in range(4):
         seen: list[Val] = []
-        probe = lambda acc, x, kind=kind: seen.append(compile_expression(e["in"], scope.bind(value=Val(acc, kind), this=Val(x, a.type.elementType)))) or F.lit(0)
+        acc_type = kind
+
+        def probe(acc: Column, x: Column) -> Column:
+            seen.append(compile_expression(e["in"], scope.bind(value=Val(acc, acc_type), this=Val(x, a.type.elementType))))  # noqa: B023
+            return F.lit(0)
+
         F.aggregate(F.array(F.lit(0)), F.lit(0), probe)
         wider = common([kind, seen[-1].type])
         if wider == kind:

@@ -15,6 +15,12 @@ from docweave.values import BOOL, DOUBLE, LONG, NULL, STRING, Val, literal, miss
 
 #: Name of a hidden struct column, which no document shows: what $geoNear notes for $meta.
 META, ROW_ID = "__meta", "__rid"
+#: In correlated pipelines: the number of the outer row, and its variables.
+OWNER, LET = "__owner", "__let"
+
+
+def hidden(name: str) -> bool:
+    return name in (META, ROW_ID, OWNER) or name.startswith(LET)
 
 
 @dataclass(frozen=True)
@@ -33,7 +39,7 @@ class Scope:
         """The whole document as one value."""
         if self.root is not None:
             return self.root
-        shown = [f for f in self.schema if f.name not in (META, ROW_ID)]
+        shown = [f for f in self.schema if not hidden(f.name)]
         if not shown:
             return literal({})
         return Val(F.struct(*[quoted(f.name).alias(f.name) for f in shown]), T.StructType(shown))
@@ -44,7 +50,7 @@ class Scope:
             raise InvalidArgument(f"empty part in path '{path}'")
         if self.root is not None:
             return walk(self.root, [head, *rest])
-        if head not in self.schema.names or head in (META, ROW_ID):
+        if head not in self.schema.names or hidden(head):
             return missing()
         return walk(Val(quoted(head), self.schema[head].dataType), rest)
 
@@ -203,6 +209,8 @@ def strict_number(name: str, v: Val, scope: Scope) -> Column:
     else:
         reject(scope, ExpectedNumeric(f"{name} expects a numeric value"))
         return F.lit(None).cast("double")
+    if scope.errors is None:  # one copy of the operand, however deep expressions nest
+        return F.coalesce(real, F.raise_error(F.lit(f"{name}: expected numeric value")).cast("double"))
     return guard(scope, real.isNull(), f"{name}: expected numeric value", real)
 
 
@@ -269,4 +277,4 @@ def constant(name: str, what: str, e: Any, kind: type | tuple) -> Any:
     return e
 
 
-__all__ = ["BOOL", "META", "OPERATORS", "ROW_ID", "STRING", "Scope", "arguments", "array_of", "array_operand", "branch", "compile_expression", "constant", "guard", "loose_number", "number", "operator", "options", "rank", "reject", "single", "strict_number", "text_of", "unwrap", "variadic", "walk", "whole"]
+__all__ = ["BOOL", "LET", "META", "OPERATORS", "OWNER", "ROW_ID", "hidden", "STRING", "Scope", "arguments", "array_of", "array_operand", "branch", "compile_expression", "constant", "guard", "loose_number", "number", "operator", "options", "rank", "reject", "single", "strict_number", "text_of", "unwrap", "variadic", "walk", "whole"]

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.errors import InvalidStage, UnsupportedOperator
+from docweave.errors import InvalidStage, UnsupportedOperator, UnsupportedStage
 from docweave.functions.base import ROW_ID, Scope, compile_expression
 from docweave.operators.base import SINKS, run_pipeline, stage
-from docweave.plans.frame import Context, Frame, ranked, visible, whole
+from docweave.plans.frame import Context, Frame, apart, owned, ranked, visible, whole
 from docweave.values import Val, literal, order, quoted, rank
 
 ACCUMULATORS = ("$sum", "$avg", "$first", "$push", "$addToSet")
@@ -62,8 +62,9 @@ def accumulated(outputs: dict[str, tuple[str, Any]], scope: Scope) -> list[Colum
 def group(df: DataFrame, key: Column, outputs: dict[str, tuple[str, Any]], context: Context) -> DataFrame:
     """(_id, outputs by name). Partial aggregation happens before the shuffle."""
     made = accumulated(outputs, Scope(df.schema, context.variables))
-    grouped = df.groupBy(key.alias("_id"))
-    return grouped.agg(*made) if made else df.select(key.alias("_id")).distinct()
+    kept = apart(df)
+    grouped = df.groupBy(key.alias("_id"), *kept)
+    return grouped.agg(*made) if made else df.select(key.alias("_id"), *kept).distinct()
 
 
 @stage("$group")
@@ -89,8 +90,9 @@ def sort_by_count(spec: Any, frame: Frame, context: Context) -> Frame:
         raise InvalidStage("$sortByCount takes an expression")
     v = compile_expression(spec, frame.scope(context))
     key = F.lit(None).cast("string") if v.null else v.col
-    counted = frame.df.groupBy(key.alias("_id")).agg(F.count(F.lit(1)).alias("count"))
-    return Frame(counted.orderBy(F.col("count").desc(), *_by_id(v)))
+    counted = frame.df.groupBy(key.alias("_id"), *apart(frame.df)).agg(F.count(F.lit(1)).alias("count"))
+    order = (F.col("count").desc(), *_by_id(v))
+    return Frame(counted, order) if owned(frame.df) else Frame(counted.orderBy(*order))
 
 
 @stage("$bucket")
@@ -144,6 +146,8 @@ def bucket_auto(spec: Any, frame: Frame, context: Context) -> Frame:
     """Buckets of equal counts along the sorted values; ranks come from a sort by ranges, so no task holds all rows."""
     if not isinstance(spec, dict) or not {"groupBy", "buckets"} <= set(spec) <= {"groupBy", "buckets", "output"}:
         raise InvalidStage("$bucketAuto takes groupBy, buckets and output")
+    if owned(frame.df):
+        raise UnsupportedStage("$bucketAuto in a correlated pipeline")
     n = spec["buckets"]
     if not isinstance(n, int) or isinstance(n, bool) or n < 1:
         raise InvalidStage("$bucketAuto: buckets is a positive integer")
@@ -178,6 +182,8 @@ def facet(spec: Any, frame: Frame, context: Context) -> Frame:
     """One document with an array for each pipeline, all over the same rows."""
     if not isinstance(spec, dict) or not spec:
         raise InvalidStage("$facet takes pipelines")
+    if owned(frame.df):
+        raise UnsupportedStage("$facet in a correlated pipeline")
     out: DataFrame | None = None
     for name, pipeline in spec.items():
         if not name or name.startswith("$") or "." in name:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.errors import InvalidArgument, InvalidStage
-from docweave.functions.base import ROW_ID, Scope, compile_expression
+from docweave.errors import InvalidArgument, InvalidStage, UnsupportedStage
+from docweave.functions.base import LET, OWNER, ROW_ID, Scope, compile_expression
 from docweave.functions.core import bound, variable_name
 from docweave.operators.base import run_pipeline, stage
 from docweave.plans.filter import compile_filter
@@ -119,48 +120,83 @@ def _lookup_equal(frame: Frame, foreign: DataFrame, local_field: str, foreign_fi
 
 
 def _lookup_pipeline(spec: dict, frame: Frame, context: Context, both: bool) -> Frame:
-    """Correlated pipelines become lateral joins; others run once, and their one row of results is joined to all."""
+    """A correlated pipeline runs once over the pairs of outer and foreign rows, whose owners its stages keep apart; equalities between both
+    sides in its first filter become keys of the join. An uncorrelated one runs once, and its one row of results is joined to all rows."""
     let = spec.get("let", {})
     if not isinstance(let, dict) or not isinstance(spec["pipeline"], list):
         raise InvalidStage("$lookup takes let and a pipeline")
-    df = frame.df
-    scope = frame.scope(context)
+    pipeline = spec["pipeline"]
+    foreign = _foreign(spec["from"], context) if "from" in spec else None
+    if not let and not both:
+        inner = run_pipeline(pipeline, foreign, context.inside("$lookup"))
+        rows = visible(inner.df)
+        kind = T.ArrayType(T.StructType(list(rows.schema)))
+        listed = inner.numbered().agg(_in_order(rows).alias("__docs"))
+        joined = frame.df.crossJoin(F.broadcast(listed))  # one row
+        return Frame(_set(joined, spec["as"], Val(F.coalesce("__docs", F.array().cast(kind)), kind), ("__docs",)), frame.order)
+    rows = settle(frame.df.withColumn("__row", F.monotonically_increasing_id()))
+    scope = Scope(rows.schema, context.variables)
+    owner = F.col("__row").alias(OWNER)
     outer: dict[str, Val] = {}
+    sent = [owner]
     for i, (name, e) in enumerate(let.items()):
         v = bound(compile_expression(e, scope))
         kind = v.type if not v.null else T.StringType()
-        df = df.withColumn(f"__let{i}", v.col.cast(kind) if v.null else v.col)
-        outer[variable_name(name)] = Val(F.col(f"__let{i}").outer(), kind)
-    foreign = _foreign(spec["from"], context) if "from" in spec else None
+        sent.append(v.col.cast(kind).alias(f"{LET}{i}") if v.null else v.col.alias(f"{LET}{i}"))
+        outer[variable_name(name)] = Val(F.col(f"{LET}{i}"), kind)
+    if foreign is None:  # literal rows come first: they join all owners
+        foreign, pipeline = run_pipeline(pipeline[:1], None, context.inside("$lookup")), pipeline[1:]
+    far = visible(foreign.df)
+    condition = []
     if both:
-        local = scope.field(spec["localField"])
-        if local.array or local.null:
-            local_type = T.ArrayType(T.StringType()) if local.null else local.type
-        else:
-            local_type = local.type
-        df = df.withColumn("__own", local.col if not local.null else F.lit(None).cast("string"))
-        far = Scope(foreign.schema, {}).field(spec["foreignField"])
-        if far.missing:
-            far = Val(F.lit(None).cast(local_type), local_type)
-        own = Val(F.col("__own").outer(), local_type if not local.null else T.StringType())
-        foreign = Frame(foreign.df.where(_any_equal(own, far)), foreign.order)
-    inner = run_pipeline(spec["pipeline"], foreign, context.inside("$lookup", outer))
-    rows = visible(inner.df)
-    item = T.StructType(list(rows.schema))
-    kind = T.ArrayType(item)
-    if not outer and not both:
-        listed = inner.numbered().agg(_in_order(rows).alias("__docs"))
-        joined = df.crossJoin(F.broadcast(listed))  # one row
-    else:
-        # inside a lateral join rows have no number; arrays are put in order by their documents
-        try:
-            orderable = F.array_sort(F.collect_list(whole(rows)))
-            joined = df.lateralJoin(rows.agg(orderable.alias("__docs")), None, "left")
-        except TypeError:
-            joined = df.lateralJoin(rows.agg(F.collect_list(whole(rows)).alias("__docs")), how="left")
-    docs = F.coalesce("__docs", F.array().cast(kind))
-    helpers = tuple(c for c in joined.columns if c in ("__own", "__docs") or c.startswith("__let"))
-    return Frame(_set(joined, spec["as"], Val(docs, kind), helpers), frame.order)
+        local, other = scope.field(spec["localField"]), Scope(far.schema, {}).field(spec["foreignField"])
+        if local.null:
+            local = Val(F.lit(None).cast(other.type if not other.null else T.StringType()), other.type if not other.null else T.StringType())
+        if other.missing:
+            other = Val(F.lit(None).cast(local.type), local.type)
+        sent.append(local.col.alias(f"{LET}_own"))
+        condition.append(_any_equal(Val(F.col(f"{LET}_own"), local.type), other))
+    condition += _equalities(pipeline, outer, Scope(far.schema, {}))
+    pairs = rows.select(*sent).join(far, reduce(lambda a, b: a & b, condition) if condition else F.lit(True))
+    inner = run_pipeline(pipeline, Frame(pairs, foreign.order), context.inside("$lookup", outer))
+    if OWNER not in inner.df.columns:
+        raise UnsupportedStage("a stage of this correlated pipeline does not keep owners apart")
+    found = visible(inner.df)
+    kind = T.ArrayType(T.StructType(list(found.schema)))
+    numbered = inner.numbered()
+    listed = numbered.groupBy(F.col(OWNER).alias("__row")).agg(_in_order(found).alias("__docs"))
+    joined = rows.join(listed, "__row", "left")
+    made = _set(joined, spec["as"], Val(F.coalesce("__docs", F.array().cast(kind)), kind), ("__docs", "__row"))
+    return Frame(_counted(made, pipeline, spec["as"], kind), frame.order)
+
+
+def _counted(df: DataFrame, pipeline: list, as_: str, kind: T.ArrayType) -> DataFrame:
+    """A pipeline that ends in $count gives a row with 0 where nothing came."""
+    if not pipeline or "$count" not in pipeline[-1]:
+        return df
+    zero = F.array(F.struct(F.lit(0).cast("long").alias(pipeline[-1]["$count"])))
+    v = Scope(df.schema, {}).field(as_)
+    return _set(df, as_, Val(F.when(F.size(v.col) == 0, zero).otherwise(v.col), kind))
+
+
+def _equalities(pipeline: list, outer: dict[str, Val], far: Scope) -> list[Column]:
+    """What the first filter asks for between a field and a variable: the filter stays, the join only needs not try all pairs."""
+    if not pipeline or not isinstance(pipeline[0], dict) or "$match" not in pipeline[0] or not isinstance(pipeline[0]["$match"], dict):
+        return []
+    e = pipeline[0]["$match"].get("$expr")
+    parts = e["$and"] if isinstance(e, dict) and isinstance(e.get("$and"), list) else [e]
+    out = []
+    for p in parts:
+        if not (isinstance(p, dict) and isinstance(p.get("$eq"), list) and len(p["$eq"]) == 2):
+            continue
+        a, b = p["$eq"]
+        for x, y in ((a, b), (b, a)):
+            if isinstance(x, str) and isinstance(y, str) and y.startswith("$$") and y[2:] in outer and x.startswith("$") and not x.startswith("$$"):
+                own = far.field(x[1:])
+                pair = None if own.missing or own.dynamic else _aligned(outer[y[2:]], own)
+                if pair is not None:
+                    out.append(pair[0].eqNullSafe(pair[1]))
+    return out
 
 
 def _in_order(rows: DataFrame) -> Column:

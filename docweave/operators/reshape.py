@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.errors import ExpectedDocument, InvalidStage
-from docweave.functions.base import META, ROW_ID, Scope, compile_expression
+from docweave.functions.base import Scope, compile_expression, hidden
 from docweave.operators.base import stage
 from docweave.plans.frame import Context, Frame, document_columns, whole
 from docweave.plans.projection import columns, fields_of, project, put, remove
@@ -62,8 +62,7 @@ def _replace(spec: Any, frame: Frame, context: Context) -> Frame:
         raise ExpectedDocument("the new root must be a document")
     df = _ordered_input(frame)
     checked = df.withColumn("__root", F.coalesce(v.col, F.raise_error(F.lit("the new root must be a document")).cast(v.type)))
-    hidden = [c for c in (META, ROW_ID) if c in df.columns]
-    return Frame(checked.select(*[F.col("__root").getField(n).alias(n) for n in v.type.names], *hidden))
+    return Frame(checked.select(*[F.col("__root").getField(n).alias(n) for n in v.type.names], *[c for c in df.columns if hidden(c)]))
 
 
 @stage("$redact")
@@ -73,9 +72,8 @@ def redact(spec: Any, frame: Frame, context: Context) -> Frame:
     names = document_columns(df)
     kind = T.StructType([df.schema[n] for n in names])
     made = _redact(Val(whole(df), kind), spec, context, 0)
-    hidden = [c for c in (META, ROW_ID) if c in df.columns]
     out = df.withColumn("__kept", made).where(F.col("__kept").isNotNull())
-    return Frame(out.select(*[F.col("__kept").getField(n).alias(n) for n in names], *[quoted(c) for c in hidden]))
+    return Frame(out.select(*[F.col("__kept").getField(n).alias(n) for n in names], *[quoted(c) for c in df.columns if hidden(c)]))
 
 
 def _redact(v: Val, spec: Any, context: Context, depth: int) -> Column:

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.errors import InvalidStage
-from docweave.functions.base import META, ROW_ID
+from docweave.functions.base import META, OWNER, ROW_ID
 from docweave.operators.base import stage
 from docweave.plans.filter import compile_filter
-from docweave.plans.frame import Context, Frame, sort_columns
+from docweave.plans.frame import Context, Frame, apart, owned, sort_columns
 from docweave.values import cast, common, literal, quoted
 
 
@@ -33,6 +34,8 @@ def sort(spec: Any, frame: Frame, context: Context) -> Frame:
     keys = sort_columns({k: direction(w) for k, w in spec.items()}, frame.scope(context))
     if not keys:
         return frame
+    if owned(frame.df):
+        return Frame(frame.df, tuple(keys) + frame.order)
     # what stands in an order already keeps it among equals
     return Frame(frame.df.orderBy(*keys, *frame.order))
 
@@ -45,12 +48,22 @@ def _length(spec: Any, name: str) -> int:
 
 @stage("$limit")
 def limit(spec: Any, frame: Frame, context: Context) -> Frame:
-    return Frame(frame.ordered().limit(_length(spec, "$limit")))
+    n = _length(spec, "$limit")
+    return _places(frame, lambda place: place <= n) if owned(frame.df) else Frame(frame.ordered().limit(n))
+
+
+def _places(frame: Frame, keep) -> Frame:
+    """Rows by their place among those of the same owner."""
+    df = frame.numbered()
+    over = Window.partitionBy(OWNER).orderBy(*frame.order, F.col(ROW_ID))
+    kept = df.withColumn("__place", F.row_number().over(over)).where(keep(F.col("__place"))).drop("__place", ROW_ID)
+    return Frame(kept, frame.order)
 
 
 @stage("$skip")
 def skip(spec: Any, frame: Frame, context: Context) -> Frame:
-    return Frame(frame.ordered().offset(_length(spec, "$skip")))
+    n = _length(spec, "$skip")
+    return _places(frame, lambda place: place > n) if owned(frame.df) else Frame(frame.ordered().offset(n))
 
 
 @stage("$sample")
@@ -68,6 +81,8 @@ def sample(spec: Any, frame: Frame, context: Context) -> Frame:
 def count(spec: Any, frame: Frame, context: Context) -> Frame:
     if not isinstance(spec, str) or not spec or spec.startswith("$") or "." in spec:
         raise InvalidStage("$count takes a field name")
+    if owned(frame.df):
+        return Frame(frame.df.groupBy(*apart(frame.df)).agg(F.count(F.lit(1)).alias(spec)))
     return Frame(frame.df.agg(F.count(F.lit(1)).alias(spec)))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.errors import InvalidStage, UnsupportedOperator
-from docweave.functions.base import ROW_ID, Scope, compile_expression, options
+from docweave.functions.base import OWNER, ROW_ID, Scope, compile_expression, options
 from docweave.functions.dates import MICROS, MONTHS
 from docweave.operators.base import stage
 from docweave.operators.rows import direction
@@ -51,6 +51,7 @@ def set_window_fields(spec: Any, frame: Frame, context: Context) -> Frame:
             raise InvalidStage("$setWindowFields: arrays are no partition keys")
         if not v.null:
             by = [v.col]
+    by += [F.col(OWNER)] if OWNER in df.columns else []
     keys = sort_columns(sort, scope)
     work = _Windows(df, scope, by, keys, sort)
     made = {name: work.output(*p) for name, p in parsed.items()}

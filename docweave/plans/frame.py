@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.functions.base import META, ROW_ID, Scope, walk
+from docweave.functions.base import OWNER, ROW_ID, Scope, hidden, walk
 from docweave.values import Val, quoted
 
 if TYPE_CHECKING:
@@ -69,13 +69,23 @@ class Frame:
 
 
 def document_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c not in (META, ROW_ID)]
+    return [c for c in df.columns if not hidden(c)]
 
 
 def visible(df: DataFrame) -> DataFrame:
     """df without hidden columns."""
-    hidden = [c for c in (META, ROW_ID) if c in df.columns]
-    return df.drop(*hidden) if hidden else df
+    gone = [c for c in df.columns if hidden(c)]
+    return df.drop(*gone) if gone else df
+
+
+def owned(df: DataFrame) -> bool:
+    """Whether rows belong to rows of an outer pipeline, apart from each other."""
+    return OWNER in df.columns
+
+
+def apart(df: DataFrame) -> list[str]:
+    """The columns that keep the rows of different owners apart, and go on with them."""
+    return [c for c in df.columns if c == OWNER or c.startswith("__let")]
 
 
 def whole(df: DataFrame) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.errors import InvalidStage, MixedProjection
-from docweave.functions.base import META, ROW_ID, Scope, compile_expression
+from docweave.functions.base import Scope, compile_expression, hidden
 from docweave.functions.core import with_field
 from docweave.values import Val, literal, quoted
 
@@ -47,7 +47,7 @@ def project(spec: Any, scope: Scope) -> Fields:
     if not others:
         included = bool(flags.get("_id"))
     own = fields_of(scope.schema)
-    hidden = {k: own[k] for k in (META, ROW_ID) if k in own}
+    unseen = {k: v for k, v in own.items() if hidden(k)}
     if not included:
         for path, flag in flags.items():
             if flag is False:
@@ -73,7 +73,7 @@ def project(spec: Any, scope: Scope) -> Fields:
             del out[name]
         else:
             out[name] = found
-    return out | hidden
+    return out | unseen
 
 
 def _prune(v: Val, kept: dict) -> Val | None:

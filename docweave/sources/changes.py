@@ -37,7 +37,7 @@ class ChangeLog:
         """events with columns of the schema, without seq and times: numbered on from the last."""
         last = self.read().agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
         now = int(time.time())
-        first = max(last, now << 40)  # each write gets numbers above all before
+        first = max(last, int(time.time() * 1000) << 20)  # each write gets numbers above all before
         names = [part.strip().split(" ")[0] for part in SCHEMA.replace("struct<time: long, increment: long>", "struct").split(",")]
         numbered = events.withColumn("seq", F.lit(first + 1).cast("long") + F.monotonically_increasing_id())
         stamped = numbered.withColumn("clusterTime", F.struct(F.lit(now).cast("long").alias("time"), F.lit(1).cast("long").alias("increment"))).withColumn("wallTime", F.current_timestamp())
