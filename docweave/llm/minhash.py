@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 from docweave.llm.common import WordHasher, mix64, row_key, settle, slices, spare, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: 36 bands of 5: a pair at 0.8 is missed with a chance of 6e-7.
-BANDS, ROWS = 36, 5
+#: 32 bands of 5: a pair at 0.8 is missed with a chance of 3e-6.
+BANDS, ROWS = 32, 5
+#: Bands that go first: what they link needs no further comparison in the others.
+FIRST_BANDS = 4
+#: From round to round a bucket has so many times as many centres.
+MORE_CENTRES = 16
 #: Rank below which the first cell of an element's region lies; later cells double.
 CELL = 1 / 64
 #: Edges of one centre that meet in one task while pairs are verified.
@@ -94,7 +98,8 @@ class DartMinHash:
             limit = (self.wanted * factor / np.maximum(total, 1e-300))[owner[chosen]]
             of, rank, name = self.darts(element[chosen], weight[chosen], limit)
             spot = owner[chosen[of]] * self.k + (mix64(name ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(self.k)).astype(np.int64)
-            order = np.lexsort((name, rank, spot))
+            # by coordinate, then rank
+            order = np.argsort(spot + rank / (float(limit.max(initial=0)) * (1 + 1e-9)))
             spot = spot[order]
             first = np.ones(len(spot), bool)
             first[1:] = spot[1:] != spot[:-1]
@@ -155,7 +160,8 @@ def _signed(batches, size: int, bands: int, rows: int):
         keep = picked[owner]
         rank = np.cumsum(picked) - 1
         sign = dart.signatures(rank[owner[keep]], element[keep], np.ones(keep.sum()), len(which))
-        keys = mix64((mix64(sign.reshape(len(which), bands, rows) * salt)).sum(2, dtype=np.uint64)).view(np.int64)
+        keys = (mix64(sign.reshape(len(which), bands, rows) * salt)).sum(2, dtype=np.uint64)
+        keys = mix64(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)).view(np.int64)
         keys = keys[rank[some[which]][back]]
         empty = counts == 0
         offsets = np.concatenate([[0], np.cumsum(~empty) * bands])
@@ -179,35 +185,39 @@ def _sets(batches, size: int):
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) to (id, root): root is the smallest id that id is connected with. Only ids with an edge come up.
 
-    Large-star and small-star steps in turn, each one aggregation by id and joins on it, until the edges no longer change.
+    Every id hangs on the smallest of its neighbours and itself; jumps that double in length shorten the ways up to one step, and the
+    edges go on between the roots, until none is left. Stars take one turn, and each turn at least halves what is connected.
     """
-    def state(e: DataFrame):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
-    while (after := state(now)) != before:
-        before = after
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "id")
-        large = both.join(low, both["a"] == low["id"]).where("b > a").select(F.col("b").alias("a"), F.col("root").alias("b")).where("a <> b").distinct()
-        small_low = large.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")
-        joined = large.join(small_low, large["a"] == small_low["id"])
-        small = joined.where("b <> root").select(F.col("b").alias("a"), F.col("root").alias("b")).unionByName(small_low.select(F.col("id").alias("a"), F.col("root").alias("b")))
-        now = settle(small.where("a <> b").distinct())
-    low = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "id")
-    return settle(low.unionByName(low.select(F.col("root").alias("id"), "root").distinct()))
+    left = settle(edges.where("a <> b").select("a", "b").distinct())
+    found: DataFrame | None = None
+    while left.limit(1).count():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
+        moved = True
+        while moved:
+            over = up.select(F.col("id").alias("of"), F.col("root").alias("next"))
+            up = settle(up.join(over, up["root"] == over["of"]).select("id", "root", "next"))
+            moved = up.where("next <> root").limit(1).count() > 0
+            up = up.select("id", F.col("next").alias("root"))
+        if found is None:
+            found = up
+        else:
+            over = up.select(F.col("id").alias("of"), F.col("root").alias("next"))
+            found = settle(found.join(over, found["root"] == over["of"], "left").select("id", F.coalesce("next", "root").alias("root")))
+        one, other = up.select(F.col("id").alias("a"), F.col("root").alias("ra")), up.select(F.col("id").alias("b"), F.col("root").alias("rb"))
+        left = settle(left.join(one, "a").join(other, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    return found if found is not None else left.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose sets of elements are similar enough. An end with many edges is dealt over tasks, its set copied to each."""
+    """(ra, rb) of the edges (a, b, ra, rb) whose sets of elements are similar enough. An end with many edges is dealt over tasks, its set copied to each."""
     loads = edges.groupBy("b").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("deals")).withColumnRenamed("b", "id")
     spread = edges.join(loads.withColumnRenamed("id", "b"), "b").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int"))
     centres = sets.join(loads, sets["set"] == loads["id"]).select("id", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("elements").alias("of_b"))
-    first = spread.join(centres, (spread["b"] == centres["id"]) & (spread["deal"] == centres["deal"])).select("a", "b", "of_b")
+    first = spread.join(centres, (spread["b"] == centres["id"]) & (spread["deal"] == centres["deal"])).select("a", "ra", "rb", "of_b")
     both = first.join(sets, first["a"] == sets["set"])
     common = F.size(F.array_intersect("elements", "of_b"))
-    return both.select("a", "b", common.alias("common"), (F.size("elements") + F.size("of_b")).alias("total")).where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("a", "b")
+    return both.select("ra", "rb", common.alias("common"), (F.size("elements") + F.size("of_b")).alias("total")).where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("ra", "rb").distinct()
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -217,48 +227,53 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     text, set that of the elements (null if none). Texts with the same elements are copies. Documents without words have no links: their
     class is their own doc_id. Null ids come up, but name a class only where no other id is there (then null).
     """
-    spark = docs.sparkSession
     given = docs.select("doc_id", row_key().alias("row"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = settle(given.mapInArrow(lambda it: _signed(it, size, bands, rows), f"doc_id {id_type}, row long, set long, size int, keys array<long>"))
     # one row for each set of elements: copies meet here, pre-aggregated
     unique = signed.where("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.first("keys").alias("keys"))
     posted = unique.select("set", "row", "size", F.posexplode("keys").alias("band", "key"))
-    shared = posted.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1").select("band", "key")
-    open_ = settle(posted.join(shared, ["band", "key"]).select("band", "key", "set", "row", "size"))
+    shared = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    open_ = settle(posted.join(shared, "key").select("key", "band", "set", "row", "size", F.col("set").alias("root")))
     wanted = open_.groupBy("set").agg(F.first("row").alias("row"))
     texts = given.join(wanted, "row").select("set", "text").groupBy("set").agg(F.first("text").alias("text"))
     sets = settle(texts.mapInArrow(lambda it: _sets(it, size), "set long, elements array<long>"))
+    roots = settle(open_.select("set", "root").distinct())
     open_ = open_.drop("row")
-    links = tested = roots = None
-    centres_per_bucket = 1
+    tested: DataFrame | None = None
+    centres_per_bucket, first = 1, True
     while True:
-        # centres: in each bucket the smallest members of so many hashed parts; all members meet all centres
+        # centres: in each bucket the smallest members of so many hashed parts; all members meet all centres of other classes
+        asked = open_.where(F.col("band") < FIRST_BANDS) if first else open_
         part = F.pmod(F.xxhash64("set", F.lit(7)), F.lit(centres_per_bucket))
-        lows = open_.groupBy("band", "key", part.alias("part")).agg(F.min(F.struct("set", "size")).alias("low"))
-        centres = settle(lows.groupBy("band", "key").agg(F.collect_list("low").alias("lows")))  # at most so many each
-        met = open_.join(centres, ["band", "key"]).withColumn("low", F.explode("lows")).where("set <> low.set")
+        lows = asked.groupBy("key", part.alias("part")).agg(F.min(F.struct("set", "size", "root")).alias("low"))
+        centres = settle(lows.groupBy("key").agg(F.collect_list("low").alias("lows")))  # at most so many each
+        met = asked.join(centres, "key").withColumn("low", F.explode("lows")).where("root <> low.root")
         small, large = F.least("size", "low.size"), F.greatest("size", "low.size")
         met = met.where(small >= similarity * large - 1e-9)  # else their elements cannot overlap enough
-        edges = met.select(F.col("set").alias("a"), F.col("low.set").alias("b"))
+        edges = met.select(F.col("set").alias("a"), F.col("low.set").alias("b"), F.col("root").alias("ra"), F.col("low.root").alias("rb"))
+        edges = edges.dropDuplicates(["a", "b"])
+        pair = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
         if tested is not None:
-            edges = edges.join(tested, ((edges["a"] == tested["x"]) & (edges["b"] == tested["y"])), "left_anti")
-        edges = settle(edges.distinct())
-        swapped = edges.select(F.col("b").alias("x"), F.col("a").alias("y")).unionByName(edges.select(F.col("a").alias("x"), F.col("b").alias("y")))
-        tested = swapped if tested is None else tested.unionByName(swapped)
-        new = settle(_verified(edges, sets, similarity))
-        links = new if links is None else links.unionByName(new)
-        roots = components(links)
-        # what has not met: members that were no centres, in buckets that still hold more than one class
-        rest = open_.join(centres, ["band", "key"]).where(~F.exists("lows", lambda low: low["set"] == F.col("set"))).select("band", "key", "set", "size")
-        known = rest.join(roots, rest["set"] == roots["id"], "left").select("band", "key", "set", "size", F.coalesce("root", "set").alias("root"))
-        mixed = known.groupBy("band", "key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("band", "key")
-        open_ = settle(rest.join(mixed, ["band", "key"]))
+            edges = edges.select("*", *pair).join(tested, ["x", "y"], "left_anti").drop("x", "y")
+        edges = settle(edges)
+        now = edges.select(*pair)
+        tested = now if tested is None else tested.unionByName(now)
+        merged = components(_verified(edges, sets, similarity).select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("id").alias("of"), F.col("root").alias("into"))
+        renamed = lambda df: df.join(merged, df["root"] == merged["of"], "left").withColumn("root", F.coalesce("into", "root")).drop("of", "into")  # noqa: B023, E731
+        roots = settle(renamed(roots))
+        rest = open_
+        if not first:  # in these buckets the centres have met all members
+            rest = rest.join(centres, "key").where(~F.exists("lows", lambda low: low["set"] == F.col("set"))).drop("lows")
+        rest = renamed(rest)
+        mixed = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
+        open_ = settle(rest.join(mixed, "key").select("key", "band", "set", "size", "root"))
         if not open_.limit(1).count():
             break
-        centres_per_bucket *= 4
+        centres_per_bucket *= 1 if first else MORE_CENTRES
+        first = False
     ids = signed.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least_id"))
-    ids = ids.join(roots, ids["set"] == roots["id"], "left").select("set", "least_id", F.coalesce("root", "set").alias("root"))
+    ids = ids.join(roots, "set", "left").select("set", "least_id", F.coalesce("root", "set").alias("root"))
     named = settle(ids).alias("i").join(ids.groupBy("root").agg(F.min("least_id").alias("class_id")).alias("c"), "root").select("set", "class_id", "root")
     out = signed.select("doc_id", "row", "set").join(named.withColumnRenamed("set", "of"), F.col("set") == F.col("of"), "left")
     return out.select("doc_id", "row", "set", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "root")
