@@ -8,7 +8,7 @@ Copies of a text move together, unless they outweigh a part of a shard: then the
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,27 +18,57 @@ from docweave.llm.common import row_key, settle, spare
 #: Bytes that a document takes besides its text.
 OVERHEAD = 16
 BINS = 1024
-#: A group of copies with more than this part of a shard's bytes or rows is dealt into pieces.
-PIECE = 0.25
+#: A group of copies with more than this part of a shard's bytes or rows is dealt into pieces of so small a part.
+PIECE, CRUMB = 0.25, 0.02
 #: Rows that share a counter while slots are numbered.
 SLOT_ROWS = 2000
 #: A place on an axis has this many bits, below it as many bits as remain break ties by hash.
 PLACE_BITS, TIE_BITS = 24, 38
+#: A unit that straddles the median is left to the right, and smaller ones beyond it make up for it, up to so many times,
+#: unless a cut beside it is within this part of a shard's bytes.
+SKIPS, TOLERANCE = 4, 0.01
 
 
 @dataclass
 class Node:
+    """A node that stands for shards low .. high - 1, and its search for a cut along an axis."""
+
     low: int
-    high: int  # shards low .. high - 1
+    high: int
     axis: int = 0
     cut: int | None = None  # keys up to the cut go left
-    left: Node | None = None
-    right: Node | None = None
+    skips: list[int] = field(default_factory=list)  # but these
+    goal: float = 0.0  # bytes that the left side is to have
+    near: float = 0.0  # how far from it is near enough
+    top: int = 0  # the highest key
+    first: int = 0  # between first and last lies the key at which the bytes so far pass the goal
+    last: int = 0
+    before: int = 0  # bytes below first
+    below: int = 0  # a cut just below first
 
     @property
     def middle(self) -> int:
         return (self.low + self.high) // 2
 
+    def narrow(self, bins: list) -> None:
+        """Go on within the bin that passes the goal; bins: (weight, low, high) in order."""
+        if not bins:  # nothing lies beyond what was skipped
+            self.cut = self.below
+        for weight, low, high in bins:
+            if self.before + weight < self.goal and high < self.last:
+                self.before += weight
+                self.below = high
+                continue
+            if low == high:  # one unit passes the goal
+                short, over = self.goal - self.before, self.before + weight - self.goal
+                if min(abs(short), abs(over)) > self.near and len(self.skips) < SKIPS and high < self.top and over >= 0:
+                    self.skips.append(high)
+                    self.first, self.last, self.below = high + 1, self.top, high
+                    return
+                self.cut = high if abs(over) < abs(short) else self.below
+            self.first, self.last = low, high
+            return
+
 
 def _axes(units: DataFrame) -> DataFrame:
     """units with k0, k1, ...: the place on each axis in the high bits, a hash in the low ones."""
@@ -54,57 +84,57 @@ def _axes(units: DataFrame) -> DataFrame:
     return units.select("text_hash", "piece", "weight", *out)
 
 
-def _leaf(node: Node, mark: dict[int, int]) -> Column:
-    """A number for each node at the tree's present edge, from the keys."""
-    if node.cut is None:
-        return F.lit(mark[id(node)])
-    return F.when(F.col(f"k{node.axis}") <= node.cut, _leaf(node.left, mark)).otherwise(_leaf(node.right, mark))
-
+def _of_node(values: list) -> Column:
+    """The value that belongs to a row's node: a constant array, so the code that Spark makes is the same in each round."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("node") + 1)
 
-def _edge(node: Node) -> list[Node]:
-    return [node] if node.cut is None else _edge(node.left) + _edge(node.right)
 
+def grow(units: DataFrame, shards: int) -> DataFrame:
+    """units (text_hash, piece, weight, k0, k1, ...) with their shard. A level of the tree takes one pass for the spreads and a few for the cuts.
 
-def grow(units: DataFrame, shards: int) -> Node:
-    """The tree over units (weight, k0, k1, ...)."""
+    node numbers the open nodes of the level; a shard s that is settled stands there as -s - 1.
+    """
     axes = [c for c in units.columns if c.startswith("k")]
-    root = Node(0, shards)
-    while open_ := [n for n in _edge(root) if n.high - n.low > 1]:
-        mark = {id(n): open_.index(n) if n in open_ else -1 for n in _edge(root)}
-        placed = units.withColumn("node", _leaf(root, mark)).where("node >= 0")
-        spread = placed.groupBy("node").agg(F.sum("weight").alias("weight"), *[f(a).alias(f"{n}_{a}") for a in axes for n, f in (("low", F.min), ("high", F.max))]).collect()
-        search = {}
+    open_ = [Node(0, shards)] if shards > 1 else []
+    placed = units.withColumn("node", F.lit(0 if open_ else -1))
+    while open_:
+        active = placed.where("node >= 0")
+        spread = active.groupBy("node").agg(F.sum("weight").alias("weight"), *[f(a).alias(f"{n}_{a}") for a in axes for n, f in (("low", F.min), ("high", F.max))]).collect()  # a row per node
+        for node in open_:
+            node.cut = 0  # stays where no unit came
         for r in spread:
             node = open_[r["node"]]
+            node.cut = None
             node.axis = max(range(len(axes)), key=lambda i, r=r: ((r[f"high_{axes[i]}"] >> TIE_BITS) - (r[f"low_{axes[i]}"] >> TIE_BITS), -i))
-            goal = r["weight"] * (node.middle - node.low) / (node.high - node.low)
-            # between first and last lies the key at which the weight so far passes the goal; before: weight below first
-            search[r["node"]] = {"first": r[f"low_k{node.axis}"], "last": r[f"high_k{node.axis}"], "before": 0, "goal": goal, "below": r[f"low_k{node.axis}"] - 1}
-        for i, node in enumerate(open_):
-            if i not in search:  # no unit came here
-                node.cut = 0
-        while going := {i: s for i, s in search.items() if open_[i].cut is None}:
-            order = sorted(going)
-            steps = {i: -(-(going[i]["last"] - going[i]["first"] + 1) // BINS) for i in order}
-            lookup = lambda values: F.element_at(F.create_map(*[F.lit(v) for pair in values.items() for v in pair]), F.col("node"))
-            key = F.element_at(F.array(*axes), lookup({i: open_[i].axis + 1 for i in order}))
-            binned = placed.where(F.col("node").isin(order)).select("node", "weight", key.alias("key"), lookup({i: going[i]["first"] for i in order}).alias("first"), lookup({i: going[i]["last"] for i in order}).alias("last"), lookup(steps).alias("step"))
-            binned = binned.where("key between first and last").withColumn("bin", F.expr("(key - first) div step"))
-            counted = binned.groupBy("node", "bin").agg(F.sum("weight").alias("weight"), F.min("key").alias("low"), F.max("key").alias("high")).collect()
-            for i in order:
-                s = going[i]
-                for r in sorted((r for r in counted if r["node"] == i), key=lambda r: r["bin"]):
-                    if s["before"] + r["weight"] < s["goal"] and r["high"] < s["last"]:
-                        s["before"] += r["weight"]
-                        s["below"] = r["high"]
-                        continue
-                    if r["low"] == r["high"]:  # one unit passes the goal: it goes to the side that comes nearer
-                        open_[i].cut = r["high"] if s["goal"] - s["before"] > r["weight"] / 2 else s["below"]
-                    s["first"], s["last"] = r["low"], r["high"]
-                    break
-        for node in open_:
-            node.left, node.right = Node(node.low, node.middle), Node(node.middle, node.high)
-    return root
+            node.first, node.last = r[f"low_{axes[node.axis]}"], r[f"high_{axes[node.axis]}"]
+            node.top, node.below = node.last, node.first - 1
+            node.goal = r["weight"] * (node.middle - node.low) / (node.high - node.low)
+            node.near = TOLERANCE * r["weight"] / (node.high - node.low)
+        keyed = active.select("node", "weight", F.element_at(F.array(*axes), _of_node([n.axis + 1 for n in open_])).alias("key"))
+        while any(n.cut is None for n in open_):
+            first, last = _of_node([n.first if n.cut is None else 1 for n in open_]), _of_node([n.last if n.cut is None else 0 for n in open_])
+            step = _of_node([max(1, -(-(n.last - n.first + 1) // BINS)) for n in open_])
+            binned = keyed.select("node", "weight", "key", first.alias("first"), last.alias("last"), step.alias("step")).where("key between first and last")
+            counted = binned.withColumn("bin", F.expr("(key - first) div step")).groupBy("node", "bin").agg(F.sum("weight").alias("weight"), F.min("key").alias("low"), F.max("key").alias("high")).collect()  # BINS rows per node at most
+            found: dict[int, list] = {}
+            for r in sorted(counted, key=lambda r: r["bin"]):
+                found.setdefault(r["node"], []).append((r["weight"], r["low"], r["high"]))
+            for i, node in enumerate(open_):
+                if node.cut is None:
+                    node.narrow(found.get(i, []))
+        sides, following = [], []
+        for low, high in [part for n in open_ for part in ((n.low, n.middle), (n.middle, n.high))]:
+            sides.append(-low - 1 if high - low == 1 else len(following))
+            if high - low > 1:
+                following.append(Node(low, high))
+        key = F.element_at(F.array(*axes), _of_node([n.axis + 1 for n in open_]))
+        skipped = F.array_contains(F.element_at(F.array(*[F.array(*[F.lit(k) for k in [*n.skips, -1]]) for n in open_]), F.col("node") + 1), key)
+        left = (key <= _of_node([n.cut for n in open_])) & ~skipped
+        moved = F.when(left, _of_node(sides[::2])).otherwise(_of_node(sides[1::2]))
+        settled = placed.where("node < 0")
+        placed = settle(settled.unionByName(active.withColumn("node", moved)))
+        open_ = following
+    return placed.select("text_hash", "piece", (-F.col("node") - 1).cast("int").alias("shard"))
 
 
 def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
@@ -122,17 +152,16 @@ def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None
     shards = shards or max(1, -(-total // (target_bytes or 128 << 20)))
     groups = rows.groupBy("text_hash").agg(F.sum("size").alias("weight"), F.count("*").alias("n"))
     # at most 2 / PIECE * shards groups can be that heavy
-    parts = F.ceil(F.greatest(F.col("weight") * shards / (PIECE * max(total, 1)), F.col("n") * shards / (PIECE * max(n, 1)))).cast("int")
+    share = F.greatest(F.col("weight") * shards / max(total, 1), F.col("n") * shards / max(n, 1))
+    parts = F.when(share > PIECE, F.ceil(share / CRUMB)).otherwise(1).cast("int")
     heavy = groups.select("text_hash", parts.alias("parts")).where("parts > 1")
     dealt = rows.join(F.broadcast(heavy), "text_hash", "left").withColumn("piece", F.pmod(F.xxhash64("doc_id", "row", "source"), F.coalesce("parts", F.lit(1)))).drop("parts")
     units = dealt.groupBy("text_hash", "piece").agg(F.sum("size").alias("weight"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.min("size").alias("one"))
     keyed = settle(_axes(settle(units)))
-    tree = grow(keyed, shards)
-    mark = {id(leaf): leaf.low for leaf in _edge(tree)}
-    placed = keyed.select("text_hash", "piece", _leaf(tree, mark).cast("int").alias("shard"))
+    placed = grow(keyed, shards)
     found = settle(dealt.join(placed, ["text_hash", "piece"]).select("doc_id", "row", "size", "text_crc32", "shard"))
     counts = {r["shard"]: r["n"] for r in found.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # a row per shard
-    counters = F.element_at(F.create_map(*[F.lit(v) for s, c in counts.items() for v in (s, -(-c // SLOT_ROWS))]), F.col("shard")) if counts else F.lit(1)
+    counters = F.element_at(F.array(*[F.lit(max(1, -(-counts.get(s, 0) // SLOT_ROWS))) for s in range(shards)]), F.col("shard") + 1)
     parted = found.withColumn("part", F.pmod(F.xxhash64(F.lit(3), "doc_id", "row"), counters))
     sizes = parted.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
