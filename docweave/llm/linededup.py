@@ -62,9 +62,13 @@ def repeated_lines(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LON
 
     Every chunk's first occurrence, by doc_id (null last), hash and place, stays.
     """
-    row, lines = row_key().alias("row"), F.split("text", "\n")
-    keyed = docs.where("text is not null").select("doc_id", "text", row)
-    found = keyed.select("doc_id", "row", F.posexplode(_chunks(lines, divisor, long_line)).alias("chunk", "c"))
+    (row,) = spare(docs, "line_row")
+    return _ranges(docs.withColumn(row, row_key()), row, divisor, long_line, run_words)
+
+
+def _ranges(keyed: DataFrame, row: str, divisor: int, long_line: int, run_words: int) -> DataFrame:
+    lines = F.split("text", "\n")
+    found = keyed.where("text is not null").select("doc_id", F.col(row).alias("row"), F.posexplode(_chunks(lines, divisor, long_line)).alias("chunk", "c"))
     narrow = settle(found.select("doc_id", "row", "chunk", "c.start", "c.lines", "c.words", F.xxhash64("c.text").alias("hash")).where("words > 1"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
     groups = narrow.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("place"), "lines")).alias("first")).where("n > 1")
@@ -72,13 +76,16 @@ def repeated_lines(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LON
     copies = narrow.join(groups, "hash").where("not (row = from_row and start = from_start)")
     copies = copies.select("row", "chunk", "start", "lines", "words", "hash")
 
-    def said(rows: DataFrame, start: str, count: str) -> DataFrame:
-        return rows.withColumn("said", F.array_join(F.slice(lines, F.col(start) + 1, F.col(count)), "\n"))
-
-    texts = keyed.select("row", "text")
-    originals = said(texts.join(groups.withColumnRenamed("from_row", "row"), "row"), "from_start", "from_lines").groupBy("hash").agg(F.first("said").alias("original"))
-    claimed = said(texts.join(copies.distinct(), "row"), "start", "lines").select("row", "chunk", "start", "lines", "words", "hash", "said")
-    same = claimed.join(originals, "hash").where(F.encode("said", "utf-8") == F.encode("original", "utf-8")).select("row", "chunk", "start", "lines", "words").distinct()
+    # first occurrences and claimed copies are cut out of the texts together. The condition needs all columns of the documents and one of the
+    # pieces, so the texts are dealt by row with all their columns, and the last join of dedup_lines can read the same exchange again
+    firsts = groups.select(F.col("from_row").alias("row"), F.lit(-1).alias("chunk"), F.col("from_start").alias("start"), F.col("from_lines").alias("lines"), F.lit(0).alias("words"), "hash")
+    pieces = copies.distinct().unionByName(firsts).select(*[F.col(c).alias(f"piece_{c}") for c in ("row", "chunk", "start", "lines", "words", "hash")])
+    whole = F.hash(*[F.col(c) for c in keyed.columns if c != "text"], "piece_chunk") >= -(2**31)
+    cut = keyed.join(pieces, F.col(row) == F.col("piece_row")).where(whole & F.col("text").isNotNull())
+    said = F.array_join(F.slice(lines, F.col("piece_start") + 1, F.col("piece_lines")), "\n")
+    cut = cut.select(*[F.col(f"piece_{c}").alias(c) for c in ("row", "chunk", "start", "lines", "words", "hash")], said.alias("said"))
+    originals = cut.where("chunk < 0").groupBy("hash").agg(F.first("said").alias("original"))
+    same = cut.where("chunk >= 0").join(originals, "hash").where(F.encode("said", "utf-8") == F.encode("original", "utf-8")).select("row", "chunk", "start", "lines", "words").distinct()
     order = Window.partitionBy("row").orderBy("chunk")  # the chunks of one document
     runs = same.withColumn("run", F.col("chunk") - F.row_number().over(order)).groupBy("row", "run").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("lines") - 1).alias("last"), F.sum("words").alias("words"))
     return runs.where(((F.col("last") > F.col("first")) & (F.col("words") >= run_words)) | (F.col("words") >= long_line)).select("row", "first", "last")
@@ -91,8 +98,10 @@ def dedup_lines(docs: DataFrame, counts: bool = False, **how) -> DataFrame:
     all other columns stay as they are.
     """
     row, ranges = spare(docs, "line_row", "line_ranges")
-    gone = repeated_lines(docs.select("doc_id", "text"), **how).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias(ranges)).withColumnRenamed("row", row)
-    joined = docs.withColumn(row, row_key()).join(gone, row, "left")
+    keyed = docs.withColumn(row, row_key())
+    how = {"divisor": DIVISOR, "long_line": LONG_LINE, "run_words": RUN_WORDS, **how}
+    gone = _ranges(keyed, row, **how).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias(ranges)).withColumnRenamed("row", row)
+    joined = keyed.join(gone, row, "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists(ranges, lambda r: (i >= r["first"]) & (i <= r["last"])))
     removed = F.aggregate(ranges, F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
