@@ -210,7 +210,8 @@ def _compare(name: str, value: Any) -> Leaf:
         if not v.array:
             return one(v, explicit)
         inner = F.coalesce(F.exists(v.col, lambda x: test(Val(x, v.type.elementType), True)), F.lit(False))
-        return one(v, explicit) | inner if c.array or name != "$eq" else inner
+        # an array is equal as a whole too, but ranks by its elements only
+        return one(v, explicit) | inner if c.array and name == "$eq" else inner
 
     return test
 
