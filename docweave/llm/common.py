@@ -32,6 +32,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df with a broadcast hint if it has so few rows; beyond that the join is left to Spark, which splits skewed keys."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that clash with none of df's."""
     taken = {c.lower() for c in df.columns}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import settle, spare
+from docweave.llm.common import settle, small, spare
 
 #: Words are separated by blanks and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -122,24 +122,22 @@ def plan(units: DataFrame) -> DataFrame:
 
     row only orders and seeds, so that reruns agree. Rows without words have expected copies like any other.
     """
-    spark = units.sparkSession
     rows = units.select("row", F.lit(0).cast("long").alias("block_of"), "source", "size", F.floor("ratio").cast("int").alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("part"), F.lit(None).cast("int").alias("copies"))
     settled, left = [], rows
-    counts = {r["source"]: r["n"] for r in left.groupBy("source").agg(F.count("*").alias("n")).collect()}  # a row per source
     while True:
-        most = max(counts.values(), default=0)
-        land = most <= BLOCK
-        blocks = spark.createDataFrame([(s, 1 if land else max(1, -(-n // (BLOCK // 2)))) for s, n in counts.items()], "source string, blocks long")
-        dealt = left.join(F.broadcast(blocks), left["source"].eqNullSafe(blocks["source"])).select(left["*"], F.pmod(F.xxhash64("row", "size"), F.col("blocks")).alias("deal"))
+        counts = settle(left.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n")))
+        most = counts.agg(F.max("n")).first()[0]
+        if most is None and settled:
+            break
+        land = (most or 0) <= BLOCK
+        blocks = small(counts.select("of", (F.lit(1) if land else F.ceil(F.col("n") / (BLOCK // 2))).cast("long").alias("blocks")))
+        dealt = left.join(blocks, F.col("source").eqNullSafe(F.col("of"))).select(left["*"], F.pmod(F.xxhash64("row", "size"), F.col("blocks")).alias("deal"))
         dealt = dealt.withColumn("block_of", F.xxhash64("source", "deal", F.lit(len(settled)))).drop("deal")
         done = settle(dealt.groupBy("block_of").applyInArrow(_fly(land), FIELDS))
         settled.append(done.where("copies is not null"))
         if land:
             break
         left = done.where("copies is null")
-        counts = {r["source"]: r["n"] for r in left.groupBy("source").agg(F.count("*").alias("n")).collect()}
-        if not counts:
-            break
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
@@ -154,7 +152,7 @@ def _sized(docs: DataFrame, size: Column, weights, share: float, most: float) ->
 
 def _with_goals(narrow: DataFrame, goals: DataFrame) -> DataFrame:
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    goals = F.broadcast(goals.withColumnRenamed("source", "goal_of"))  # a row per source
+    goals = small(goals.withColumnRenamed("source", "goal_of"))
     return narrow.join(goals, narrow["source"].eqNullSafe(goals["goal_of"]), "left").withColumn("ratio", ratio).drop("goal_of")
 
 
