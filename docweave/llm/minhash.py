@@ -210,14 +210,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(ra, rb) of the edges (a, b, ra, rb) whose sets of elements are similar enough. An end with many edges is dealt over tasks, its set copied to each."""
+    """The edges (a, b, ra, rb) whose sets of elements are similar enough. An end with many edges is dealt over tasks, its set copied to each."""
     loads = edges.groupBy("b").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("deals")).withColumnRenamed("b", "id")
     spread = edges.join(loads.withColumnRenamed("id", "b"), "b").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int"))
     centres = sets.join(loads, sets["set"] == loads["id"]).select("id", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("elements").alias("of_b"))
-    first = spread.join(centres, (spread["b"] == centres["id"]) & (spread["deal"] == centres["deal"])).select("a", "ra", "rb", "of_b")
+    first = spread.join(centres, (spread["b"] == centres["id"]) & (spread["deal"] == centres["deal"])).select("a", "b", "ra", "rb", "of_b")
     both = first.join(sets, first["a"] == sets["set"])
     common = F.size(F.array_intersect("elements", "of_b"))
-    return both.select("ra", "rb", common.alias("common"), (F.size("elements") + F.size("of_b")).alias("total")).where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("ra", "rb").distinct()
+    return both.select("a", "b", "ra", "rb", common.alias("common"), (F.size("elements") + F.size("of_b")).alias("total")).where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("a", "b", "ra", "rb")
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -238,9 +238,9 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
     wanted = open_.groupBy("set").agg(F.first("row").alias("row"))
     texts = given.join(wanted, "row").select("set", "text").groupBy("set").agg(F.first("text").alias("text"))
     sets = settle(texts.mapInArrow(lambda it: _sets(it, size), "set long, elements array<long>"))
-    roots = settle(open_.select("set", "root").distinct())
     open_ = open_.drop("row")
     tested: DataFrame | None = None
+    links: DataFrame | None = None
     centres_per_bucket, first = 1, True
     while True:
         # centres: in each bucket the smallest members of so many hashed parts; all members meet all centres of other classes
@@ -259,22 +259,27 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
         edges = settle(edges)
         now = edges.select(*pair)
         tested = now if tested is None else tested.unionByName(now)
-        merged = components(_verified(edges, sets, similarity).select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("id").alias("of"), F.col("root").alias("into"))
-        renamed = lambda df: df.join(merged, df["root"] == merged["of"], "left").withColumn("root", F.coalesce("into", "root")).drop("of", "into")  # noqa: B023, E731
-        roots = settle(renamed(roots))
+        new = settle(_verified(edges, sets, similarity))
+        links = new.select("a", "b") if links is None else links.unionByName(new.select("a", "b"))
+        # classes so far: each hangs on the smallest that it has a link with, two steps up; what this leaves apart only costs comparisons
+        both = new.select("ra", "rb").unionByName(new.select(F.col("rb").alias("ra"), F.col("ra").alias("rb")))
+        up = both.groupBy(F.col("ra").alias("of")).agg(F.least(F.col("ra"), F.min("rb")).alias("into"))
+        over = up.select(F.col("of").alias("by"), F.col("into").alias("next"))
+        up = up.join(over, up["into"] == over["by"]).select("of", F.col("next").alias("into"))
         rest = open_
         if not first:  # in these buckets the centres have met all members
             rest = rest.join(centres, "key").where(~F.exists("lows", lambda low: low["set"] == F.col("set"))).drop("lows")
-        rest = renamed(rest)
+        rest = rest.join(up, rest["root"] == up["of"], "left").withColumn("root", F.coalesce("into", "root")).drop("of", "into")
         mixed = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
         open_ = settle(rest.join(mixed, "key").select("key", "band", "set", "size", "root"))
         if not open_.limit(1).count():
             break
         centres_per_bucket *= 1 if first else MORE_CENTRES
         first = False
+    roots = components(links).withColumnRenamed("id", "of")
     ids = signed.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least_id"))
-    ids = ids.join(roots, "set", "left").select("set", "least_id", F.coalesce("root", "set").alias("root"))
-    named = settle(ids).alias("i").join(ids.groupBy("root").agg(F.min("least_id").alias("class_id")).alias("c"), "root").select("set", "class_id", "root")
+    ids = settle(ids.join(roots, ids["set"] == roots["of"], "left").select("set", "least_id", F.coalesce("root", "set").alias("root")))
+    named = ids.alias("i").join(ids.groupBy("root").agg(F.min("least_id").alias("class_id")).alias("c"), "root").select("set", "class_id", "root")
     out = signed.select("doc_id", "row", "set").join(named.withColumnRenamed("set", "of"), F.col("set") == F.col("of"), "left")
     return out.select("doc_id", "row", "set", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "root")
 
