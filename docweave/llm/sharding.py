@@ -22,6 +22,8 @@ BINS = 1024
 PIECE, CRUMB = 0.25, 0.02
 #: Rows that share a counter while slots are numbered.
 SLOT_ROWS = 2000
+#: Units, of some 60 bytes each, that a task of a level takes.
+UNITS_PER_TASK = 200_000
 #: A place on an axis has this many bits, below it as many bits as remain break ties by hash.
 PLACE_BITS, TIE_BITS = 24, 38
 #: A unit that straddles the median is left to the right, and smaller ones beyond it make up for it, up to so many times,
@@ -85,8 +87,8 @@ def _axes(units: DataFrame) -> DataFrame:
 
 
 def _of_node(values: list) -> Column:
-    """The value that belongs to a row's node: a constant array, so the code that Spark makes is the same in each round."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), F.col("node") + 1)
+    """The value that belongs to a row's node, NULL if it is settled: a constant array, so the code that Spark makes is the same in each round."""
+    return F.get(F.array(*[F.lit(v) for v in values]), F.col("node"))
 
 
 def grow(units: DataFrame, shards: int) -> DataFrame:
@@ -96,7 +98,9 @@ def grow(units: DataFrame, shards: int) -> DataFrame:
     """
     axes = [c for c in units.columns if c.startswith("k")]
     open_ = [Node(0, shards)] if shards > 1 else []
-    placed = units.withColumn("node", F.lit(0 if open_ else -1))
+    # narrow rows: few files for each level
+    parts = max(units.sparkSession.sparkContext.defaultParallelism, -(-units.count() // UNITS_PER_TASK))
+    placed = units.coalesce(parts).withColumn("node", F.lit(0 if open_ else -1))
     while open_:
         active = placed.where("node >= 0")
         spread = active.groupBy("node").agg(F.sum("weight").alias("weight"), *[f(a).alias(f"{n}_{a}") for a in axes for n, f in (("low", F.min), ("high", F.max))]).collect()  # a row per node
@@ -127,12 +131,11 @@ def grow(units: DataFrame, shards: int) -> DataFrame:
             sides.append(-low - 1 if high - low == 1 else len(following))
             if high - low > 1:
                 following.append(Node(low, high))
-        key = F.element_at(F.array(*axes), _of_node([n.axis + 1 for n in open_]))
-        skipped = F.array_contains(F.element_at(F.array(*[F.array(*[F.lit(k) for k in [*n.skips, -1]]) for n in open_]), F.col("node") + 1), key)
+        key = F.get(F.array(*axes), _of_node([n.axis for n in open_]))
+        skipped = F.array_contains(F.get(F.array(*[F.array(*[F.lit(k) for k in [*n.skips, -1]]) for n in open_]), F.col("node")), key)
         left = (key <= _of_node([n.cut for n in open_])) & ~skipped
-        moved = F.when(left, _of_node(sides[::2])).otherwise(_of_node(sides[1::2]))
-        settled = placed.where("node < 0")
-        placed = settle(settled.unionByName(active.withColumn("node", moved)))
+        moved = F.when(F.col("node") < 0, F.col("node")).when(left, _of_node(sides[::2])).otherwise(_of_node(sides[1::2]))
+        placed = settle(placed.withColumn("node", moved))
         open_ = following
     return placed.select("text_hash", "piece", (-F.col("node") - 1).cast("int").alias("shard"))
 
