@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from docweave.errors import InvalidArgument
 from docweave.functions.arrays import bind
-from docweave.functions.base import Scope, compile_expression, guard, operator, options, reject, text_of, unwrap, whole
+from docweave.functions.base import Scope, compile_expression, guard, operator, options, reject, unwrap, whole
 from docweave.values import DATE, INT, LONG, STRING, Val, is_stamp, null
 
 UNITS = ("millisecond", "second", "minute", "hour", "day", "week", "month", "quarter", "year")
