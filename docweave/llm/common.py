@@ -26,10 +26,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df under the shared folder and go on from there, so that lost executors cost no long recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def settle(df: DataFrame, few: bool = False) -> DataFrame:
+    """Write df under the shared folder and go on from there, so that lost executors cost no long recomputation.
+
+    few: rows of a few numbers each, such as edges or labels, are written in four files for each core of the cluster at most.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    return (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df).checkpoint(eager=True)
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:

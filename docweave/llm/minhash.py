@@ -188,7 +188,7 @@ def components(edges: DataFrame) -> DataFrame:
     Every id hangs on the smallest of its neighbours and itself; jumps that double in length shorten the ways up to one step, and the
     edges go on between the roots, until none is left. Stars take one turn, and each turn at least halves what is connected.
     """
-    left = settle(edges.where("a <> b").select("a", "b").distinct())
+    left = settle(edges.where("a <> b").select("a", "b").distinct(), few=True)
     found: DataFrame | None = None
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -196,16 +196,16 @@ def components(edges: DataFrame) -> DataFrame:
         moved = True
         while moved:
             over = up.select(F.col("id").alias("of"), F.col("root").alias("next"))
-            up = settle(up.join(over, up["root"] == over["of"]).select("id", "root", "next"))
+            up = settle(up.join(over, up["root"] == over["of"]).select("id", "root", "next"), few=True)
             moved = up.where("next <> root").limit(1).count() > 0
             up = up.select("id", F.col("next").alias("root"))
         if found is None:
             found = up
         else:
             over = up.select(F.col("id").alias("of"), F.col("root").alias("next"))
-            found = settle(found.join(over, found["root"] == over["of"], "left").select("id", F.coalesce("next", "root").alias("root")))
+            found = settle(found.join(over, found["root"] == over["of"], "left").select("id", F.coalesce("next", "root").alias("root")), few=True)
         one, other = up.select(F.col("id").alias("a"), F.col("root").alias("ra")), up.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-        left = settle(left.join(one, "a").join(other, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        left = settle(left.join(one, "a").join(other, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), few=True)
     return found if found is not None else left.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
@@ -247,7 +247,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
         asked = open_.where(F.col("band") < FIRST_BANDS) if first else open_
         part = F.pmod(F.xxhash64("set", F.lit(7)), F.lit(centres_per_bucket))
         lows = asked.groupBy("key", part.alias("part")).agg(F.min(F.struct("set", "size", "root")).alias("low"))
-        centres = settle(lows.groupBy("key").agg(F.collect_list("low").alias("lows")))  # at most so many each
+        centres = settle(lows.groupBy("key").agg(F.collect_list("low").alias("lows")), few=True)  # at most so many each
         met = asked.join(centres, "key").withColumn("low", F.explode("lows")).where("root <> low.root")
         small, large = F.least("size", "low.size"), F.greatest("size", "low.size")
         met = met.where(small >= similarity * large - 1e-9)  # else their elements cannot overlap enough
@@ -256,10 +256,10 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
         pair = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
         if tested is not None:
             edges = edges.select("*", *pair).join(tested, ["x", "y"], "left_anti").drop("x", "y")
-        edges = settle(edges)
+        edges = settle(edges, few=True)
         now = edges.select(*pair)
         tested = now if tested is None else tested.unionByName(now)
-        new = settle(_verified(edges, sets, similarity))
+        new = settle(_verified(edges, sets, similarity), few=True)
         links = new.select("a", "b") if links is None else links.unionByName(new.select("a", "b"))
         # classes so far: each hangs on the smallest that it has a link with, two steps up; what this leaves apart only costs comparisons
         both = new.select("ra", "rb").unionByName(new.select(F.col("rb").alias("ra"), F.col("ra").alias("rb")))
@@ -271,14 +271,14 @@ def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY
             rest = rest.join(centres, "key").where(~F.exists("lows", lambda low: low["set"] == F.col("set"))).drop("lows")
         rest = rest.join(up, rest["root"] == up["of"], "left").withColumn("root", F.coalesce("into", "root")).drop("of", "into")
         mixed = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-        open_ = settle(rest.join(mixed, "key").select("key", "band", "set", "size", "root"))
+        open_ = settle(rest.join(mixed, "key").select("key", "band", "set", "size", "root"), few=True)
         if not open_.limit(1).count():
             break
         centres_per_bucket *= 1 if first else MORE_CENTRES
         first = False
     roots = components(links).withColumnRenamed("id", "of")
     ids = signed.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least_id"))
-    ids = settle(ids.join(roots, ids["set"] == roots["of"], "left").select("set", "least_id", F.coalesce("root", "set").alias("root")))
+    ids = settle(ids.join(roots, ids["set"] == roots["of"], "left").select("set", "least_id", F.coalesce("root", "set").alias("root")), few=True)
     named = ids.alias("i").join(ids.groupBy("root").agg(F.min("least_id").alias("class_id")).alias("c"), "root").select("set", "class_id", "root")
     out = signed.select("doc_id", "row", "set").join(named.withColumnRenamed("set", "of"), F.col("set") == F.col("of"), "left")
     return out.select("doc_id", "row", "set", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "root")
