@@ -1,8 +1,8 @@
-"""Removal of lines that repeat across documents, by content-defined chunks of lines. DataFrame functions only.
+"""Removal of lines that repeat across documents, by pieces of neighbouring lines. DataFrame functions only.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk ends, so that inserted or lost lines shift no
-boundaries further on; a long line is a chunk of its own. Chunks with equal hashes are copies once their bytes are
-compared with the first occurrence. Neighbouring copies join to runs; a run of several lines, or of one long line, goes.
+Every two neighbouring lines are a piece, with the lines without words between them, and every long line is one of its own, so
+that what stands beside a passage does not decide whether it is found. Pieces with equal hashes are copies once their bytes are
+compared with the first occurrence. Copies that overlap or touch join to runs; a run of several lines, or of one long line, goes.
 """
 
 from __future__ import annotations
@@ -12,9 +12,7 @@ from pyspark.sql import functions as F
 
 from docweave.llm.common import row_key, settle, spare
 
-#: Of the boundaries between lines, one in this many ends a chunk.
-DIVISOR = 2
-#: Words from which a line is a chunk of its own and goes alone.
+#: Words from which a line is a piece of its own and goes alone.
 LONG_LINE = 40
 #: Words that a repeated run of several lines has at least.
 RUN_WORDS = 16
@@ -24,70 +22,89 @@ def _word_count(line: Column) -> Column:
     return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
-def _chunks(lines: Column, divisor: int, long_line: int) -> Column:
-    """array<struct<start, words, text>>: the chunks of an array of lines, numbered from 0."""
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), F.xxhash64(x).alias("hash"), _word_count(x).alias("words")))
+def _worded(words: Column) -> Column:
+    return words > 1
 
-    def begins(rows: Column) -> Column:
-        # line i begins a chunk: the rolling hash of lines i - 1 and i says so, or one of them is long
-        return F.filter(
-            F.sequence(F.lit(0), F.size(rows) - 1),
-            lambda i: (i == 0)
-            | (F.pmod(F.xxhash64(rows[i - 1]["hash"], rows[i]["hash"]), F.lit(divisor)) == 0)
-            | (rows[i]["words"] >= long_line)
-            | (rows[i - 1]["words"] >= long_line),
-        )
 
-    def cut(rows: Column, starts: Column) -> Column:
-        def chunk(start: Column, k: Column) -> Column:
-            end = F.coalesce(F.get(starts, k + 1), F.size(rows))
-            own = F.slice(rows, start + 1, end - start)
-            return F.struct(
-                start.cast("int").alias("start"),
-                (end - start).cast("int").alias("lines"),
-                F.aggregate(own, F.lit(0), lambda n, x: n + x["words"]).alias("words"),
-                F.array_join(F.transform(own, lambda x: x["line"]), "\n").alias("text"),
-            )
+def _bind(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _pieces(lines: Column, long_line: int) -> Column:
+    """array<struct<start, lines, hash>>: the pieces of an array of lines, numbered from 0."""
+
+    def piece(all_lines: Column, start: Column, end: Column) -> Column:
+        n = end - start + 1
+        return F.struct(start.cast("int").alias("start"), n.cast("int").alias("lines"), F.xxhash64(F.slice(all_lines, start + 1, n)).alias("hash"))
 
-        return F.transform(starts, chunk)
+    def cut(all_lines: Column, words: Column) -> Column:
+        at = F.filter(F.transform(words, lambda n, i: F.when(_worded(n), i)), lambda i: i.isNotNull())
+        single = F.transform(F.filter(at, lambda i: words[i] >= long_line), lambda i: piece(all_lines, i, i))
 
-    def bind(value: Column, body):
-        return F.transform(F.array(value), body)[0]
+        def pairs(at: Column) -> Column:
+            ends = F.filter(F.transform(at, lambda i, k: F.struct(i.alias("i"), F.get(at, k + 1).alias("j"))), lambda p: p["j"].isNotNull())
+            # two long lines side by side are found one by one
+            ends = F.filter(ends, lambda p: (p["j"] > p["i"] + 1) | (words[p["i"]] < long_line) | (words[p["j"]] < long_line))
+            return F.transform(ends, lambda p: piece(all_lines, p["i"], p["j"]))
 
-    return bind(marked, lambda rows: bind(begins(rows), lambda starts: cut(rows, starts)))
+        return F.concat(single, _bind(at, pairs))
 
+    return _bind(lines, lambda ls: _bind(F.transform(ls, _word_count), lambda words: cut(ls, words)))
 
-def repeated_lines(docs: DataFrame, divisor: int = DIVISOR, long_line: int = LONG_LINE, run_words: int = RUN_WORDS) -> DataFrame:
+
+def repeated_lines(docs: DataFrame, long_line: int = LONG_LINE, run_words: int = RUN_WORDS) -> DataFrame:
     """(row long, first int, last int): ranges of lines, from 0, that go from the document with that hash of doc_id and text.
 
-    Every chunk's first occurrence, by doc_id (null last), hash and place, stays.
+    Every line's first occurrence, by doc_id (null last), hash and place, stays.
     """
     (row,) = spare(docs, "line_row")
-    return _ranges(docs.withColumn(row, row_key()), row, divisor, long_line, run_words)
+    return _ranges(docs.withColumn(row, row_key()), row, long_line, run_words)
 
 
-def _ranges(keyed: DataFrame, row: str, divisor: int, long_line: int, run_words: int) -> DataFrame:
+def _ranges(keyed: DataFrame, row: str, long_line: int, run_words: int) -> DataFrame:
     lines = F.split("text", "\n")
-    found = keyed.where("text is not null").select("doc_id", F.col(row).alias("row"), F.posexplode(_chunks(lines, divisor, long_line)).alias("chunk", "c"))
-    narrow = settle(found.select("doc_id", "row", "chunk", "c.start", "c.lines", "c.words", F.xxhash64("c.text").alias("hash")).where("words > 1"))
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "start")
-    groups = narrow.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct(place.alias("place"), "lines")).alias("first")).where("n > 1")
-    groups = settle(groups.select("hash", F.col("first.place.row").alias("from_row"), F.col("first.place.start").alias("from_start"), F.col("first.lines").alias("from_lines")))
-    copies = narrow.join(groups, "hash").where("not (row = from_row and start = from_start)")
-    copies = copies.select("row", "chunk", "start", "lines", "words", "hash")
-
-    # first occurrences and claimed copies are cut out of the texts together. The condition needs all columns of the documents and one of the
-    # pieces, so the texts are dealt by row with all their columns, and the last join of dedup_lines can read the same exchange again
-    firsts = groups.select(F.col("from_row").alias("row"), F.lit(-1).alias("chunk"), F.col("from_start").alias("start"), F.col("from_lines").alias("lines"), F.lit(0).alias("words"), "hash")
-    pieces = copies.distinct().unionByName(firsts).select(*[F.col(c).alias(f"piece_{c}") for c in ("row", "chunk", "start", "lines", "words", "hash")])
-    whole = F.hash(*[F.col(c) for c in keyed.columns if c != "text"], "piece_chunk") >= -(2**31)
+    found = keyed.where("text is not null").select("doc_id", F.col(row).alias("row"), F.explode(_pieces(lines, long_line)).alias("p"))
+    # start and number of lines in one long, which sorts by start
+    narrow = settle(found.select("doc_id", "row", (F.shiftleft(F.col("p.start").cast("long"), 32) + F.col("p.lines")).alias("span"), "p.hash"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "span")
+    groups = narrow.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    groups = settle(groups.select("hash", F.col("first.row").alias("from_row"), F.col("first.span").alias("from_span")))
+    # what overlaps its own first occurrence, as in a line said three times over, is no copy
+    apart = (F.col("row") != F.col("from_row")) | (F.shiftright("span", 32) >= F.shiftright("from_span", 32) + F.col("from_span").bitwiseAND(2**32 - 1))
+    copies = narrow.join(groups, "hash").where(apart).select("row", "span", "hash", F.lit(True).alias("copy"))
+
+    # first occurrences and claimed copies are cut out of the texts together, each text split once. The condition needs all columns of the
+    # documents and the pieces, so the texts are dealt by row with all their columns, and the last join of dedup_lines can read the same exchange again
+    firsts = groups.select(F.col("from_row").alias("row"), F.col("from_span").alias("span"), "hash", F.lit(False).alias("copy"))
+    pieces = copies.distinct().unionByName(firsts).groupBy(F.col("row").alias("piece_row")).agg(F.collect_list(F.struct("span", "hash", "copy")).alias("piece_list"))
+    whole = F.hash(*[F.col(c) for c in keyed.columns if c != "text"], F.size("piece_list")) >= -(2**31)
     cut = keyed.join(pieces, F.col(row) == F.col("piece_row")).where(whole & F.col("text").isNotNull())
-    said = F.array_join(F.slice(lines, F.col("piece_start") + 1, F.col("piece_lines")), "\n")
-    cut = cut.select(*[F.col(f"piece_{c}").alias(c) for c in ("row", "chunk", "start", "lines", "words", "hash")], said.alias("said"))
-    originals = cut.where("chunk < 0").groupBy("hash").agg(F.first("said").alias("original"))
-    same = cut.where("chunk >= 0").join(originals, "hash").where(F.encode("said", "utf-8") == F.encode("original", "utf-8")).select("row", "chunk", "start", "lines", "words").distinct()
-    order = Window.partitionBy("row").orderBy("chunk")  # the chunks of one document
-    runs = same.withColumn("run", F.col("chunk") - F.row_number().over(order)).groupBy("row", "run").agg(F.min("start").alias("first"), F.max(F.col("start") + F.col("lines") - 1).alias("last"), F.sum("words").alias("words"))
+
+    def say(all_lines: Column, p: Column) -> Column:
+        start, n = F.shiftright(p["span"], 32).cast("int"), p["span"].bitwiseAND(2**32 - 1).cast("int")
+        own = F.slice(all_lines, start + 1, n)
+        words = lambda some: F.aggregate(some, F.lit(0), lambda a, x: a + _word_count(x))
+        return F.struct(
+            start.alias("start"),
+            (start + n - 1).alias("end"),
+            p["hash"].alias("hash"),
+            p["copy"].alias("copy"),
+            F.when(p["copy"], words(own)).alias("words"),
+            F.when(p["copy"], words(F.slice(own, 1, 1))).alias("head"),
+            F.array_join(own, "\n").alias("said"),
+        )
+
+    cut = cut.select("piece_row", "piece_list", "text").select(F.col("piece_row").alias("row"), F.inline(_bind(lines, lambda ls: F.transform("piece_list", lambda p: say(ls, p)))))
+    originals = cut.where("not copy").groupBy("hash").agg(F.first("said").alias("original"))
+    same = cut.where("copy").join(originals, "hash").where(F.encode("said", "utf-8") == F.encode("original", "utf-8")).select("row", "start", "end", "words", "head").distinct()
+
+    order = Window.partitionBy("row").orderBy("start", "end")  # the pieces of one document
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = same.withColumn("reach", reach).withColumn("begins", F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach") + 1), 1).otherwise(0))
+    # of a piece whose first line is already in the run, the other lines count
+    counted = F.when(F.col("reach").isNull() | (F.col("start") > F.col("reach")), F.col("words")).when(F.col("end") > F.col("reach"), F.col("words") - F.col("head")).otherwise(0)
+    new = new.withColumn("counted", counted).withColumn("run", F.sum("begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = new.groupBy("row", "run").agg(F.min("start").alias("first"), F.max("end").alias("last"), F.sum("counted").alias("words"))
     return runs.where(((F.col("last") > F.col("first")) & (F.col("words") >= run_words)) | (F.col("words") >= long_line)).select("row", "first", "last")
 
 
@@ -99,7 +116,7 @@ def dedup_lines(docs: DataFrame, counts: bool = False, **how) -> DataFrame:
     """
     row, ranges = spare(docs, "line_row", "line_ranges")
     keyed = docs.withColumn(row, row_key())
-    how = {"divisor": DIVISOR, "long_line": LONG_LINE, "run_words": RUN_WORDS, **how}
+    how = {"long_line": LONG_LINE, "run_words": RUN_WORDS, **how}
     gone = _ranges(keyed, row, **how).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias(ranges)).withColumnRenamed("row", row)
     joined = keyed.join(gone, row, "left")
     lines = F.split("text", "\n")

@@ -368,6 +368,19 @@ def test_lines(spark, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
+def test_lines_of_short_passages(spark):
+    """A passage goes with its first and last line whatever stands beside it, and of every line the first occurrence stays."""
+    own = lambda k: prose(random.Random(k), 15)
+    passages = {n: [prose(random.Random(900 + 10 * n + j), 60 // n) for j in range(n)] for n in (2, 3, 6)}
+    texts = [(own(40 * n + 2 * k), p, own(40 * n + 2 * k + 1)) for n, p in passages.items() for k in range(12)]
+    rows = [(i, "\n".join([a, *p, b])) for i, (a, p, b) in enumerate(texts)]
+    rows += [(100, "\n".join([own(500)] * 3)), (101, "\n".join([own(501)] * 4))]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (a, p, b) in enumerate(texts):
+        assert got[i] == "\n".join([a, *(p if i % 12 == 0 else []), b]), i
+    assert got[100] == rows[-2][1] and got[101] == "\n".join([own(501)] * 2)
+
+
 # 6: licenses
 
 
