@@ -18,12 +18,12 @@ LONG_LINE = 40
 RUN_WORDS = 16
 
 
-def _word_count(line: Column) -> Column:
-    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+#: A word is a run of characters that are not white, in any script.
+WORD = r"[^\s\p{Z}]+"
 
 
-def _worded(words: Column) -> Column:
-    return words > 1
+def _word_count(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(WORD))
 
 
 def _bind(value: Column, body) -> Column:
@@ -38,7 +38,7 @@ def _pieces(lines: Column, long_line: int) -> Column:
         return F.struct(start.cast("int").alias("start"), n.cast("int").alias("lines"), F.xxhash64(F.slice(all_lines, start + 1, n)).alias("hash"))
 
     def cut(all_lines: Column, words: Column) -> Column:
-        at = F.filter(F.transform(words, lambda n, i: F.when(_worded(n), i)), lambda i: i.isNotNull())
+        at = F.filter(F.transform(words, lambda n, i: F.when(n > 0, i)), lambda i: i.isNotNull())
         single = F.transform(F.filter(at, lambda i: words[i] >= long_line), lambda i: piece(all_lines, i, i))
 
         def pairs(at: Column) -> Column:
@@ -63,11 +63,13 @@ def repeated_lines(docs: DataFrame, long_line: int = LONG_LINE, run_words: int =
 
 def _ranges(keyed: DataFrame, row: str, long_line: int, run_words: int) -> DataFrame:
     lines = F.split("text", "\n")
-    found = keyed.where("text is not null").select("doc_id", F.col(row).alias("row"), F.explode(_pieces(lines, long_line)).alias("p"))
-    # start and number of lines in one long, which sorts by start
-    narrow = settle(found.select("doc_id", "row", (F.shiftleft(F.col("p.start").cast("long"), 32) + F.col("p.lines")).alias("span"), "p.hash"))
+    found = keyed.where("text is not null").select("doc_id", F.col(row).alias("row"), F.explode_outer(_pieces(lines, long_line)).alias("p")).where("p is not null")
+    # start and number of lines in one long, which sorts by start. Few hashes repeat: only their pieces are written, the others are made twice
+    narrow = found.select("doc_id", "row", (F.shiftleft(F.col("p.start").cast("long"), 32) + F.col("p.lines")).alias("span"), "p.hash")
+    several = narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    narrow = settle(narrow.join(several, "hash", "left_semi"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "span")
-    groups = narrow.groupBy("hash").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    groups = narrow.groupBy("hash").agg(F.min(place).alias("first"))
     groups = settle(groups.select("hash", F.col("first.row").alias("from_row"), F.col("first.span").alias("from_span")))
     # what overlaps its own first occurrence, as in a line said three times over, is no copy
     apart = (F.col("row") != F.col("from_row")) | (F.shiftright("span", 32) >= F.shiftright("from_span", 32) + F.col("from_span").bitwiseAND(2**32 - 1))
@@ -78,7 +80,7 @@ def _ranges(keyed: DataFrame, row: str, long_line: int, run_words: int) -> DataF
     firsts = groups.select(F.col("from_row").alias("row"), F.col("from_span").alias("span"), "hash", F.lit(False).alias("copy"))
     pieces = copies.distinct().unionByName(firsts).groupBy(F.col("row").alias("piece_row")).agg(F.collect_list(F.struct("span", "hash", "copy")).alias("piece_list"))
     whole = F.hash(*[F.col(c) for c in keyed.columns if c != "text"], F.size("piece_list")) >= -(2**31)
-    cut = keyed.join(pieces, F.col(row) == F.col("piece_row")).where(whole & F.col("text").isNotNull())
+    cut = keyed.join(pieces, F.col(row) == F.col("piece_row")).where(whole)
 
     def say(all_lines: Column, p: Column) -> Column:
         start, n = F.shiftright(p["span"], 32).cast("int"), p["span"].bitwiseAND(2**32 - 1).cast("int")
@@ -94,7 +96,7 @@ def _ranges(keyed: DataFrame, row: str, long_line: int, run_words: int) -> DataF
             F.array_join(own, "\n").alias("said"),
         )
 
-    cut = cut.select("piece_row", "piece_list", "text").select(F.col("piece_row").alias("row"), F.inline(_bind(lines, lambda ls: F.transform("piece_list", lambda p: say(ls, p)))))
+    cut = cut.select("piece_row", "piece_list", "text").select(F.col("piece_row").alias("row"), F.inline_outer(_bind(lines, lambda ls: F.transform("piece_list", lambda p: say(ls, p)))))
     originals = cut.where("not copy").groupBy("hash").agg(F.first("said").alias("original"))
     same = cut.where("copy").join(originals, "hash").where(F.encode("said", "utf-8") == F.encode("original", "utf-8")).select("row", "start", "end", "words", "head").distinct()
 

@@ -381,6 +381,26 @@ def test_lines_of_short_passages(spark):
     assert got[100] == rows[-2][1] and got[101] == "\n".join([own(501)] * 2)
 
 
+def test_lines_without_blanks_and_blank_lines(spark):
+    """Blank and one-word lines belong to the passage around them, and words are told apart by any white space."""
+    own = lambda k: prose(random.Random(k), 15)
+    say = lambda k, n: prose(random.Random(k), n)
+    passages = [
+        [say(800, 30), "", say(801, 30)],
+        [say(802, 12), " \t", "", "Title", "", say(803, 12)],
+        [say(804, 9).replace(" ", "\t"), say(805, 9).replace(" ", "\u3000")],
+        [f"{k}\u96ea\u5c71\u98db\u72d0" for k in range(16)],
+    ]
+    texts = [(own(1000 + 2 * k), p, own(1001 + 2 * k)) for k, p in enumerate(p for p in passages for _ in range(6))]
+    rows = [(i, "\n".join([a, *p, b])) for i, (a, p, b) in enumerate(texts)]
+    rows += [(100 + k, "\n".join([own(2000 + 2 * k), "", "", own(2001 + 2 * k)])) for k in range(6)]
+    rows += [(110 + k, "\n".join([own(3000 + 2 * k), say(806, 10), [" ", "\t"][k % 2], say(807, 10), own(3001 + 2 * k)])) for k in range(2)]
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (a, p, b) in enumerate(texts):
+        assert got[i] == "\n".join([a, *(p if i % 6 == 0 else []), b]), i
+    assert all(got[i] == t for i, t in rows if i >= 100)
+
+
 # 6: licenses
 
 
