@@ -142,6 +142,11 @@ pipeline(
     [{"$match": {"doc_id": {"$lt": 200}}}, fields(doc_id=1, lines={"$split": ["$text", "\n"]}), {"$unwind": "$lines"}, {"$group": {"_id": "$doc_id", "n": {"$sum": 1}, "bytes": {"$sum": {"$strLenBytes": "$lines"}}}}],
     "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 200) SELECT doc_id AS _id, count(*)::BIGINT AS n, sum(strlen(line))::BIGINT AS bytes FROM l GROUP BY 1",
 )
+pipeline(
+    "stage_unwind_whole", "documents",
+    [fields(doc_id=1, lines={"$split": ["$text", "\n"]}), {"$unwind": "$lines"}, {"$group": {"_id": "$doc_id", "n": {"$sum": 1}, "bytes": {"$sum": {"$strLenBytes": "$lines"}}}}],
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id AS _id, count(*)::BIGINT AS n, sum(strlen(line))::BIGINT AS bytes FROM l GROUP BY 1",
+)
 pipeline("stage_unwind_preserve", "customer", [fields(c_custkey=1, a={"$cond": [{"$gt": ["$c_acctbal", 5000]}, [1, 2], []]}), {"$unwind": {"path": "$a", "preserveNullAndEmptyArrays": True}}],
          "SELECT c_custkey, unnest(CASE WHEN c_acctbal > 5000 THEN [1, 2] ELSE [NULL] END) AS a FROM customer")
 
