@@ -399,6 +399,18 @@ pipeline(
        SELECT vec_id, a[-2] AS at, a[1] AS first, a[-1] AS last, len(a)::BIGINT AS size, true AS isarr, len(list_filter(a, lambda x: x > 0))::BIGINT AS pos, list_sum(a)::BIGINT AS sum, a[-1] AS rev, (len(a) + 2)::BIGINT AS cat, (list_position(a, a[4]) - 1)::BIGINT AS idx, 3::BIGINT AS rng, a[-3] AS slice, list_min(a) AS low, 9::BIGINT AS zip,
        (a[1] + a[2])::BIGINT AS f2, (a[-1] + a[-2])::BIGINT AS l2, list_sum(list_sort(a, 'DESC')[1:2])::BIGINT AS m2, list_sum(list_sort(a)[1:2])::BIGINT AS n2 FROM e""",
 )
+pipeline(
+    "expr_arrays_whole", "embeddings",
+    [
+        {"$project": {"_id": 0, "vec_id": 1, "label": 1, "a": {"$map": {"input": "$embedding", "as": "x", "in": {"$toLong": {"$multiply": ["$$x", 100]}}}}}},
+        fields(vec_id=1, at={"$arrayElemAt": ["$a", -2]}, first={"$first": "$a"}, last={"$last": "$a"}, size={"$size": "$a"}, isarr={"$isArray": "$a"}, pos={"$size": {"$filter": {"input": "$a", "as": "x", "cond": {"$gt": ["$$x", 0]}}}}, sum={"$reduce": {"input": "$a", "initialValue": 0, "in": {"$add": ["$$value", "$$this"]}}},
+            rev={"$arrayElemAt": [{"$reverseArray": "$a"}, 0]}, cat={"$size": {"$concatArrays": ["$a", [1, 2]]}}, idx={"$indexOfArray": ["$a", {"$arrayElemAt": ["$a", 3]}]}, rng={"$size": {"$range": [0, {"$size": "$a"}, 3]}}, slice={"$arrayElemAt": [{"$slice": ["$a", -3, 2]}, 0]},
+            low={"$arrayElemAt": [{"$sortArray": {"input": "$a", "sortBy": 1}}, 0]}, zip={"$arrayElemAt": [{"$arrayElemAt": [{"$zip": {"inputs": ["$a", [7, 8, 9]]}}, 2]}, 1]}, f2={"$sum": {"$firstN": {"input": "$a", "n": 2}}}, l2={"$sum": {"$lastN": {"input": "$a", "n": 2}}}, m2={"$sum": {"$maxN": {"input": "$a", "n": 2}}}, n2={"$sum": {"$minN": {"input": "$a", "n": 2}}}),
+    ],
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: trunc(x::DOUBLE * 100)::BIGINT) AS a FROM embeddings)
+       SELECT vec_id, a[-2] AS at, a[1] AS first, a[-1] AS last, len(a)::BIGINT AS size, typeof(a) LIKE '%[]' AS isarr, len(list_filter(a, lambda x: x > 0))::BIGINT AS pos, list_sum(a)::BIGINT AS sum, list_reverse(a)[1] AS rev, len(list_concat(a, [1, 2]))::BIGINT AS cat, (list_position(a, a[4]) - 1)::BIGINT AS idx, len(range(0, len(a)::BIGINT, 3))::BIGINT AS rng, a[-3] AS slice, list_min(a) AS low, list_zip(a, [7, 8, 9])[3][2]::BIGINT AS zip,
+       (a[1] + a[2])::BIGINT AS f2, (a[-1] + a[-2])::BIGINT AS l2, list_sum(list_sort(a, 'DESC')[1:2])::BIGINT AS m2, list_sum(list_sort(a)[1:2])::BIGINT AS n2 FROM e""",
+)
 _A, _B = {"$split": ["$p_name", " "]}, {"$split": ["$p_type", " "]}
 pipeline(
     "expr_sets_objects", "part",
@@ -417,6 +429,15 @@ pipeline(
     """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id < 400) SELECT vec_id, round(list_sum(e), 9) AS sum, round(list_avg(e), 9) AS avg, round(list_min(e), 9) AS min, round(list_max(e), 9) AS max, round(list_stddev_pop(e), 9) AS pop, round(list_stddev_samp(e), 9) AS samp,
        round(list_aggregate(e, 'quantile_cont', 0.5), 9) AS med, round(list_sort(e)[ceil(len(e) * 0.9)::INTEGER], 9) AS p90, greatest(label, 4)::INTEGER AS several FROM e""",
 )
+pipeline(
+    "expr_statistics_whole", "embeddings",
+    [
+        fields(vec_id=1, sum=_R({"$sum": "$embedding"}), avg=_R({"$avg": "$embedding"}), min=_R({"$min": {"$map": {"input": "$embedding", "as": "x", "in": {"$toDouble": "$$x"}}}}), max=_R({"$max": {"$map": {"input": "$embedding", "as": "x", "in": {"$toDouble": "$$x"}}}}), pop=_R({"$stdDevPop": "$embedding"}), samp=_R({"$stdDevSamp": "$embedding"}),
+            med=_R({"$median": {"input": "$embedding", "method": "continuous"}}), p90=_R({"$arrayElemAt": [{"$percentile": {"input": "$embedding", "p": [0.9], "method": "discrete"}}, 0]}), several={"$max": ["$label", 4, None]}),
+    ],
+    """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings) SELECT vec_id, round(list_sum(e), 9) AS sum, round(list_avg(e), 9) AS avg, round(list_min(e), 9) AS min, round(list_max(e), 9) AS max, round(list_stddev_pop(e), 9) AS pop, round(list_stddev_samp(e), 9) AS samp,
+       round(list_aggregate(e, 'quantile_cont', 0.5), 9) AS med, round(list_sort(e)[ceil(len(e) * 0.9)::INTEGER], 9) AS p90, greatest(label, 4)::INTEGER AS several FROM e""",
+)
 _DATE = "$o_orderdate"
 pipeline(
     "expr_date_parts", "orders",

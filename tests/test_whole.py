@@ -12,6 +12,8 @@ SF = "/root/testdata/sf0.01"
 #: Rows of the smaller sibling at most.
 CUT = {
     "stage_unwind_whole": 200,
+    "expr_arrays_whole": 400,
+    "expr_statistics_whole": 400,
 }
 
 
