@@ -216,6 +216,14 @@ pipeline(
     ],
     "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 10)::BIGINT AS n FROM customer WHERE c_custkey <= 60",
 )
+pipeline(
+    "lookup_correlated_whole", "customer orders",
+    [
+        {"$lookup": {"from": "orders", "let": {"k": "$c_custkey", "b": "$c_acctbal"}, "pipeline": [{"$match": {"$expr": {"$and": [{"$eq": ["$o_custkey", "$$k"]}, {"$gt": ["$o_totalprice", {"$multiply": ["$$b", 10]}]}]}}}, {"$project": {"o_orderkey": 1}}], "as": "o"}},
+        fields(c_custkey=1, n={"$size": "$o"}),
+    ],
+    "SELECT c_custkey, count(o_orderkey)::BIGINT AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > c_acctbal * 10 GROUP BY c_custkey",
+)
 pipeline("lookup_uncorrelated", "region nation", [{"$lookup": {"from": "nation", "pipeline": [{"$match": {"n_regionkey": 1}}, {"$project": {"n_name": 1}}], "as": "all"}}, fields(r_name=1, n={"$size": "$all"})], "SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey = 1)::BIGINT AS n FROM region")
 pipeline("union_with", "supplier customer", [fields(key="$s_suppkey", bal="$s_acctbal"), {"$unionWith": {"coll": "customer", "pipeline": [{"$match": {"c_acctbal": {"$lt": 0}}}, fields(key="$c_custkey", segment="$c_mktsegment")]}}],
          "SELECT s_suppkey AS key, s_acctbal AS bal, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer WHERE c_acctbal < 0")

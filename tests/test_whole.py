@@ -14,6 +14,7 @@ CUT = {
     "stage_unwind_whole": 200,
     "expr_arrays_whole": 400,
     "expr_statistics_whole": 400,
+    "lookup_correlated_whole": 61,
 }
 
 
