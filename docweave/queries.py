@@ -94,6 +94,16 @@ pipeline(
     """WITH w AS (SELECT doc_id, list_slice(string_split(text, ' '), 1, 12) AS w FROM documents)
        SELECT doc_id, w[1] AS first FROM w WHERE len(w) = 12 AND list_contains(w, 'the') AND list_contains(w, 'of') AND len(list_filter(w, lambda x: x LIKE 'a%' AND x <> 'and')) > 0""",
 )
+pipeline(
+    "filter_arrays_whole", "documents",
+    [
+        {"$set": {"words": {"$split": ["$text", " "]}, "head": {"$slice": [{"$split": ["$text", " "]}, 3]}}},
+        {"$match": {"head": {"$size": 3}, "words": {"$all": ["the", "of"], "$elemMatch": {"$regex": "^a", "$ne": "and"}}}},
+        fields(doc_id=1, first={"$arrayElemAt": ["$words", 0]}, n={"$size": "$words"}),
+    ],
+    """WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents)
+       SELECT doc_id, w[1] AS first, len(w)::BIGINT AS n FROM w WHERE len(w[1:3]) = 3 AND list_contains(w, 'the') AND list_contains(w, 'of') AND len(list_filter(w, lambda x: x LIKE 'a%' AND x <> 'and')) > 0""",
+)
 pipeline(
     "filter_array_of_documents", "orders lineitem",
     [

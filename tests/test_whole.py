@@ -15,6 +15,7 @@ CUT = {
     "expr_arrays_whole": 400,
     "expr_statistics_whole": 400,
     "lookup_correlated_whole": 61,
+    "filter_arrays_whole": 23,
 }
 
 
