@@ -250,6 +250,18 @@ pipeline(
        f AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2)
        SELECT root AS n_nationkey, count(*)::BIGINT AS n, max(depth)::BIGINT AS deepest FROM f GROUP BY 1""",
 )
+pipeline(
+    "graph_lookup_whole", "nation",
+    [
+        {"$set": {"next": {"$toInt": {"$add": ["$n_nationkey", 3]}}}},
+        {"$graphLookup": {"from": "nation", "startWith": "$next", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "reach", "maxDepth": 3, "depthField": "depth"}},
+        fields(n_nationkey=1, n={"$size": "$reach"}, deepest={"$max": {"$map": {"input": "$reach", "as": "r", "in": "$$r.depth"}}}),
+    ],
+    """WITH RECURSIVE w(root, node, depth) AS (SELECT a.n_nationkey, b.n_nationkey, 0 FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 3
+         UNION SELECT w.root, c.n_nationkey, w.depth + 1 FROM w JOIN nation p ON p.n_nationkey = w.node JOIN nation c ON c.n_nationkey = p.n_regionkey WHERE w.depth < 3),
+       f AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2)
+       SELECT n_nationkey, count(node)::BIGINT AS n, max(depth)::BIGINT AS deepest FROM nation LEFT JOIN f ON root = n_nationkey GROUP BY 1""",
+)
 
 # windows and series
 

@@ -16,6 +16,7 @@ CUT = {
     "expr_statistics_whole": 400,
     "lookup_correlated_whole": 61,
     "filter_arrays_whole": 23,
+    "graph_lookup_whole": 6,
 }
 
 
