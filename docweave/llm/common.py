@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,21 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; only where it is missing (tests on one machine) a local one stands in."""
+    """The folder in spark.checkpoint.dir, which all executors share; only a master on one machine, as in tests, may leave it unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docweave-checkpoints-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docweave-checkpoints-"))
     return context.getCheckpointDir()
 
 
 def settle(df: DataFrame, few: bool = False) -> DataFrame:
-    """Write df under the shared folder and go on from there, so that lost executors cost no long recomputation.
+    """Write df as a table under the shared folder and go on from there, so that lost executors cost no long recomputation.
 
     few: rows of a few numbers each, such as edges or labels, are written in four files for each core of the cluster at most.
     """
     spark = df.sparkSession
-    shared_folder(spark)
-    return (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df).checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df).write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def discard(*settled: DataFrame) -> None:
+    """Delete tables that settle wrote and that nothing reads any more."""
+    for df in settled:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:

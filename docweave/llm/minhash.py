@@ -3,26 +3,27 @@
 Words are lower-cased runs of ASCII letters, digits and all other code points above 127; a document's elements are its distinct
 runs of five words (fewer words are one element; none, no element). Darts are thrown into each element's region, weight by rank,
 as a hashed Poisson process, so that equal elements get equal darts in all documents; the earliest dart of each of k coordinates
-is the signature. Bands of equal values are joined, and every pair that shares a bucket is settled by exact Jaccard similarity,
-save where both are already known to be of one class.
+is the signature. Bands of equal values are joined: documents that share one are the candidates.
+
+Candidates are settled exactly, in two steps. First every member of a bucket is compared with its centre, the member that shares
+buckets with most others, and what is similar enough joins its class. What a bucket still holds of other classes is then compared
+with all its members, but for pairs that a bound rules out: two sets share no element that only one of all candidates has.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import WordHasher, mix64, row_key, settle, slices, spare, utf8
+from docweave.llm.common import WordHasher, discard, mix64, row_key, settle, slices, spare, utf8
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: 32 bands of 5: a pair at 0.8 is missed with a chance of 3e-6.
 BANDS, ROWS = 32, 5
-#: Bands that go first: what they link needs no further comparison in the others.
-FIRST_BANDS = 4
-#: From round to round a bucket has so many times as many centres.
-MORE_CENTRES = 16
+#: How often elements are counted among the sets that are left, which leaves out what the bound rules out everywhere.
+COUNTS = 2
 #: Rank below which the first cell of an element's region lies; later cells double.
 CELL = 1 / 64
 #: Edges of one centre that meet in one task while pairs are verified.
@@ -116,7 +117,7 @@ class DartMinHash:
 
 
 def shingles(hasher: WordHasher, data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and hash of the distinct runs of `size` words, sorted by both, and the number of words of each row."""
+    """Row, hash and number of the distinct runs of `size` words, sorted by row and hash."""
     word, _, _, row = hasher.words(data, at)
     n = len(at) - 1
     counts = np.bincount(row, minlength=n)
@@ -135,21 +136,34 @@ def shingles(hasher: WordHasher, data: np.ndarray, at: np.ndarray, size: int) ->
     owner, total = owner[order], total[order]
     new = np.ones(len(owner), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (total[1:] != total[:-1])
-    return owner[new], total[new], counts
+    times = np.diff(np.append(np.flatnonzero(new), len(new)))
+    return owner[new], total[new], times
+
+
+def _elements(hasher: WordHasher, batch: pa.RecordBatch, size: int, weighted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """owner, element and weight of the darts, then owner and name of what stands in the set.
+
+    A weighted set holds an element as often as it occurs, under names that count it: its plain similarity is the weighted one.
+    """
+    owner, element, times = shingles(hasher, *utf8(batch.column("text")), size)
+    if not weighted:
+        return owner, element, np.ones(len(owner)), owner, element
+    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    named = np.where(nth > 0, mix64(np.repeat(element, times) + nth.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)), np.repeat(element, times))
+    return owner, element, times.astype(float), np.repeat(owner, times), named
 
 
-def _signed(batches, size: int, bands: int, rows: int):
+def _signed(batches, size: int, bands: int, rows: int, weighted: bool):
     """(row, id, key) columns with the hash of each row's set of elements, their number, and its bands; empty sets have null."""
     hasher, dart = WordHasher(), DartMinHash(bands * rows)
     salt = np.arange(1, rows + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
     for batch in slices(batches, "text", 1 << 20):
-        owner, element, _ = shingles(hasher, *utf8(batch.column("text")), size)
+        of, element, weight, owner, held = _elements(hasher, batch, size, weighted)
         n = batch.num_rows
         counts = np.bincount(owner, minlength=n)
         some = np.flatnonzero(counts)
-        renamed = np.cumsum(counts > 0) - 1
-        total = np.concatenate([[0], np.cumsum(element, dtype=np.uint64)]).astype(np.uint64)
-        mixed = np.concatenate([[0], np.cumsum(mix64(element ^ np.uint64(0x9D39247E33776D41)), dtype=np.uint64)]).astype(np.uint64)
+        total = np.concatenate([[0], np.cumsum(held, dtype=np.uint64)]).astype(np.uint64)
+        mixed = np.concatenate([[0], np.cumsum(mix64(held ^ np.uint64(0x9D39247E33776D41)), dtype=np.uint64)]).astype(np.uint64)
         ends = np.cumsum(counts)
         sums = [t[ends] - t[ends - counts] for t in (total, mixed)]
         name = mix64(sums[0] + mix64(sums[1]) + counts.astype(np.uint64))
@@ -157,9 +171,9 @@ def _signed(batches, size: int, bands: int, rows: int):
         _, which, back = np.unique(name[some], return_index=True, return_inverse=True)
         picked = np.zeros(n, bool)
         picked[some[which]] = True
-        keep = picked[owner]
+        keep = picked[of]
         rank = np.cumsum(picked) - 1
-        sign = dart.signatures(rank[owner[keep]], element[keep], np.ones(keep.sum()), len(which))
+        sign = dart.signatures(rank[of[keep]], element[keep], weight[keep], len(which))
         keys = (mix64(sign.reshape(len(which), bands, rows) * salt)).sum(2, dtype=np.uint64)
         keys = mix64(keys + np.arange(bands, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)).view(np.int64)
         keys = keys[rank[some[which]][back]]
@@ -174,12 +188,18 @@ def _signed(batches, size: int, bands: int, rows: int):
         )
 
 
-def _sets(batches, size: int):
-    hasher = WordHasher()
+def _sets(batches, size: int, weighted: bool):
+    """(set, elements) of each row; of rows with one set that meet here, the first."""
+    hasher, seen = WordHasher(), set()
     for batch in slices(batches, "text", 1 << 20):
-        owner, element, _ = shingles(hasher, *utf8(batch.column("text")), size)
+        sets = batch.column("set").to_numpy()
+        _, first = np.unique(sets, return_index=True)
+        new = np.array([k for k in first if sets[k] not in seen], np.int64)
+        seen.update(sets[new].tolist())
+        batch = batch.take(pa.array(new))
+        _, _, _, owner, held = _elements(hasher, batch, size, weighted)
         offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=batch.num_rows))])
-        yield pa.RecordBatch.from_arrays([batch.column("set"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(element.view(np.int64)))], names=["set", "elements"])
+        yield pa.RecordBatch.from_arrays([batch.column("set"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(held.view(np.int64)))], names=["set", "elements"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,12 +213,16 @@ def components(edges: DataFrame) -> DataFrame:
     while left.limit(1).count():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("root"))
-        moved = True
+        moved, last = True, None
         while moved:
             over = up.select(F.col("id").alias("of"), F.col("root").alias("next"))
             up = settle(up.join(over, up["root"] == over["of"]).select("id", "root", "next"), few=True)
+            if last is not None:
+                discard(last)
+            last = up
             moved = up.where("next <> root").limit(1).count() > 0
             up = up.select("id", F.col("next").alias("root"))
+        before, ended = found, left
         if found is None:
             found = up
         else:
@@ -206,81 +230,103 @@ def components(edges: DataFrame) -> DataFrame:
             found = settle(found.join(over, found["root"] == over["of"], "left").select("id", F.coalesce("next", "root").alias("root")), few=True)
         one, other = up.select(F.col("id").alias("a"), F.col("root").alias("ra")), up.select(F.col("id").alias("b"), F.col("root").alias("rb"))
         left = settle(left.join(one, "a").join(other, "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), few=True)
+        discard(ended)
+        if before is not None:
+            discard(last, *([before] if hasattr(before, "settled_at") else []))
     return found if found is not None else left.select(F.col("a").alias("id"), F.col("b").alias("root"))
 
 
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b, ra, rb) whose sets of elements are similar enough. An end with many edges is dealt over tasks, its set copied to each."""
+    """The edges (a, b, ...) whose sets of elements are similar enough. An end b with many edges is dealt over tasks, its set copied to each."""
     loads = edges.groupBy("b").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("deals")).withColumnRenamed("b", "id")
     spread = edges.join(loads.withColumnRenamed("id", "b"), "b").withColumn("deal", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int"))
     centres = sets.join(loads, sets["set"] == loads["id"]).select("id", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("elements").alias("of_b"))
-    first = spread.join(centres, (spread["b"] == centres["id"]) & (spread["deal"] == centres["deal"])).select("a", "b", "ra", "rb", "of_b")
+    first = spread.join(centres, (spread["b"] == centres["id"]) & (spread["deal"] == centres["deal"])).select(*[spread[c] for c in edges.columns], "of_b")
     both = first.join(sets, first["a"] == sets["set"])
     common = F.size(F.array_intersect("elements", "of_b"))
-    return both.select("a", "b", "ra", "rb", common.alias("common"), (F.size("elements") + F.size("of_b")).alias("total")).where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select("a", "b", "ra", "rb")
+    measured = both.select(*edges.columns, common.alias("common"), (F.size("elements") + F.size("of_b")).alias("total"))
+    return measured.where(F.col("common") >= similarity * (F.col("total") - F.col("common")) - 1e-9).select(*edges.columns)
+
 
+def _sized(small: Column, large: Column, similarity: float) -> Column:
+    """Two sets of these sizes can be similar enough."""
+    return F.least(small, large) >= similarity * F.greatest(small, large) - 1e-9
 
-def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, row, set, class_id): a row for each row of docs (doc_id, text).
+
+def _mixed(members: DataFrame, similarity: float) -> DataFrame:
+    """members (set, size, reach, root, crowd, keys) that a member of another class in one of their buckets can be similar to, and the keys of those buckets.
+
+    reach: the largest size that a partner can have. The smallest size and the largest reach of a bucket rule members out without pairs.
+    """
+    flat = members.withColumn("key", F.explode("keys"))
+    bounds = flat.groupBy("key").agg(F.min("size").alias("least"), F.max("reach").alias("most"), F.min("root").alias("one"), F.max("root").alias("other")).where("one <> other")
+    left = flat.join(bounds, "key").where(F.col("least") <= F.col("reach") + 1e-9).where(F.col("most") + 1e-9 >= F.col("size"))
+    return left.groupBy("set").agg(*[F.first(c).alias(c) for c in ("size", "reach", "root", "crowd")], F.collect_list("key").alias("keys"))  # a set has as many keys as bands at most
+
+
+def classes(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighted: bool = False) -> DataFrame:
+    """(doc_id, row, set, class_id, root): a row for each row of docs (doc_id, text).
 
     class_id is the smallest doc_id among all documents that links of the given similarity or more connect; row is the hash of doc_id and
-    text, set that of the elements (null if none). Texts with the same elements are copies. Documents without words have no links: their
-    class is their own doc_id. Null ids come up, but name a class only where no other id is there (then null).
+    text, set that of the elements, root that of the class (both null if there are none). weighted: similarity is that of multisets, an
+    element weighing as often as it occurs. Texts with the same elements are copies. Documents without words have no links: their class is
+    their own doc_id. Null ids come up, but name a class only where no other id is there (then null). An empty table gives no rows.
     """
     given = docs.select("doc_id", row_key().alias("row"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    signed = settle(given.mapInArrow(lambda it: _signed(it, size, bands, rows), f"doc_id {id_type}, row long, set long, size int, keys array<long>"))
+    signed = settle(given.mapInArrow(lambda it: _signed(it, size, bands, rows, weighted), f"doc_id {id_type}, row long, set long, size int, keys array<long>"))
     # one row for each set of elements: copies meet here, pre-aggregated
-    unique = signed.where("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.first("keys").alias("keys"))
-    posted = unique.select("set", "row", "size", F.posexplode("keys").alias("band", "key"))
-    shared = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    open_ = settle(posted.join(shared, "key").select("key", "band", "set", "row", "size", F.col("set").alias("root")))
-    wanted = open_.groupBy("set").agg(F.first("row").alias("row"))
-    texts = given.join(wanted, "row").select("set", "text").groupBy("set").agg(F.first("text").alias("text"))
-    sets = settle(texts.mapInArrow(lambda it: _sets(it, size), "set long, elements array<long>"))
-    open_ = open_.drop("row")
-    tested: DataFrame | None = None
-    links: DataFrame | None = None
-    centres_per_bucket, first = 1, True
-    while True:
-        # centres: in each bucket the smallest members of so many hashed parts; all members meet all centres of other classes
-        asked = open_.where(F.col("band") < FIRST_BANDS) if first else open_
-        part = F.pmod(F.xxhash64("set", F.lit(7)), F.lit(centres_per_bucket))
-        lows = asked.groupBy("key", part.alias("part")).agg(F.min(F.struct("set", "size", "root")).alias("low"))
-        centres = settle(lows.groupBy("key").agg(F.collect_list("low").alias("lows")), few=True)  # at most so many each
-        met = asked.join(centres, "key").withColumn("low", F.explode("lows")).where("root <> low.root")
-        small, large = F.least("size", "low.size"), F.greatest("size", "low.size")
-        met = met.where(small >= similarity * large - 1e-9)  # else their elements cannot overlap enough
-        edges = met.select(F.col("set").alias("a"), F.col("low.set").alias("b"), F.col("root").alias("ra"), F.col("low.root").alias("rb"))
-        edges = edges.dropDuplicates(["a", "b"])
-        pair = [F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")]
-        if tested is not None:
-            edges = edges.select("*", *pair).join(tested, ["x", "y"], "left_anti").drop("x", "y")
-        edges = settle(edges, few=True)
-        now = edges.select(*pair)
-        tested = now if tested is None else tested.unionByName(now)
-        new = settle(_verified(edges, sets, similarity), few=True)
-        links = new.select("a", "b") if links is None else links.unionByName(new.select("a", "b"))
-        # classes so far: each hangs on the smallest that it has a link with, two steps up; what this leaves apart only costs comparisons
-        both = new.select("ra", "rb").unionByName(new.select(F.col("rb").alias("ra"), F.col("ra").alias("rb")))
-        up = both.groupBy(F.col("ra").alias("of")).agg(F.least(F.col("ra"), F.min("rb")).alias("into"))
-        over = up.select(F.col("of").alias("by"), F.col("into").alias("next"))
-        up = up.join(over, up["into"] == over["by"]).select("of", F.col("next").alias("into"))
-        rest = open_
-        if not first:  # in these buckets the centres have met all members
-            rest = rest.join(centres, "key").where(~F.exists("lows", lambda low: low["set"] == F.col("set"))).drop("lows")
-        rest = rest.join(up, rest["root"] == up["of"], "left").withColumn("root", F.coalesce("into", "root")).drop("of", "into")
-        mixed = rest.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-        open_ = settle(rest.join(mixed, "key").select("key", "band", "set", "size", "root"), few=True)
-        if not open_.limit(1).count():
-            break
-        centres_per_bucket *= 1 if first else MORE_CENTRES
-        first = False
-    roots = components(links).withColumnRenamed("id", "of")
+    unique = settle(signed.where("set is not null").groupBy("set").agg(F.min("row").alias("row"), F.min("size").alias("size"), F.first("keys").alias("keys")))
+    posted = unique.select("set", F.explode("keys").alias("key"))
+    shared = posted.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    # crowd: how many others a set meets, over all its buckets; in a family of copies that is greatest near what they were copied from
+    crowded = posted.join(shared, "key").groupBy("set").agg(F.sum("members").alias("crowd"), F.collect_list("key").alias("keys"))
+    open_ = settle(crowded.join(unique.select("set", "row", "size"), "set"))
+    wanted = open_.select("row", "set")
+    texts = given.join(wanted, "row").select("set", "text")
+    sets = settle(texts.mapInArrow(lambda it: _sets(it, size, weighted), "set long, elements array<long>"))
+
+    # every member meets the centre of each of its buckets
+    flat = open_.select("set", "size", "crowd", F.explode("keys").alias("key"))
+    centres = flat.groupBy("key").agg(F.max(F.struct("crowd", "set", "size")).alias("top"))
+    met = flat.join(centres, "key").where(F.col("set") != F.col("top.set")).where(_sized(F.col("size"), F.col("top.size"), similarity))
+    edges = settle(met.select(F.col("set").alias("a"), F.col("top.set").alias("b")).distinct(), few=True)
+    links = settle(_verified(edges, sets, similarity), few=True)
+    discard(edges)
+    named = components(links)
+
+    # buckets that still hold members of several classes
+    found = open_.join(named, open_["set"] == named["id"], "left").select("set", "size", "crowd", "keys", F.coalesce("root", "set").alias("root"))
+    members = settle(_mixed(found.withColumn("reach", F.col("size") / similarity), similarity), few=True)
+    for _ in range(COUNTS):
+        # an element that no other member has is shared with none: so many elements a set can have in common with another at most
+        parts = sets.join(members.select(F.col("set").alias("of")), F.col("set") == F.col("of"), "left_semi").select("set", F.explode("elements").alias("element"))
+        own = parts.groupBy("element").agg(F.count("*").alias("n"), F.min("set").alias("of")).where("n = 1").groupBy("of").agg(F.count("*").alias("own"))
+        counted = members.join(own, members["set"] == own["of"], "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0)))
+        # common >= similarity * (size + other size - common)
+        fewer = settle(_mixed(counted.withColumn("reach", F.col("common") * (1 + similarity) / similarity - F.col("size")), similarity), few=True)
+        discard(members)
+        members = fewer
+    flat = members.withColumn("key", F.explode("keys"))
+    home = flat.groupBy("key").agg(F.max(F.struct("crowd", "set", "root")).alias("top")).select(F.col("key").alias("of"), F.col("top.root").alias("home"))
+    placed = flat.join(home, flat["key"] == home["of"]).drop("of")
+    stray, other = placed.where("root <> home").alias("s"), placed.alias("o")
+    s, o = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"o.{c}"))
+    able = (s("root") != o("root")) & ((o("root") == o("home")) | (s("set") < o("set"))) & _sized(s("size"), o("size"), similarity) & (s("size") <= o("reach") + 1e-9) & (o("size") <= s("reach") + 1e-9)
+    once = F.array_min(F.array_intersect(s("keys"), o("keys"))) == s("key")  # a pair that shares several buckets is made in one of them
+    pairs = settle(stray.join(other, (s("key") == o("key")) & able & once).select(s("set").alias("b"), o("set").alias("a"), s("root").alias("rb"), o("root").alias("ra")), few=True)
+    more = settle(_verified(pairs, sets, similarity).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), few=True)
+    discard(pairs, members, sets, open_)
+    joined = components(more).withColumnRenamed("root", "into").withColumnRenamed("id", "was")
+    roots = named.join(joined, named["root"] == joined["was"], "left").select("id", F.coalesce("into", "root").alias("root"))
+    alone = joined.join(named, joined["was"] == named["id"], "left_anti").select(F.col("was").alias("id"), F.col("into").alias("root"))
+    roots = roots.unionByName(alone).withColumnRenamed("id", "of")
+
     ids = signed.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("least_id"))
     ids = settle(ids.join(roots, ids["set"] == roots["of"], "left").select("set", "least_id", F.coalesce("root", "set").alias("root")), few=True)
-    named = ids.alias("i").join(ids.groupBy("root").agg(F.min("least_id").alias("class_id")).alias("c"), "root").select("set", "class_id", "root")
-    out = signed.select("doc_id", "row", "set").join(named.withColumnRenamed("set", "of"), F.col("set") == F.col("of"), "left")
+    discard(unique)
+    found = ids.alias("i").join(ids.groupBy("root").agg(F.min("least_id").alias("class_id")).alias("c"), "root").select("set", "class_id", "root")
+    out = signed.select("doc_id", "row", "set").join(found.withColumnRenamed("set", "of"), F.col("set") == F.col("of"), "left")
     return out.select("doc_id", "row", "set", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "root")
 
 
@@ -289,11 +335,13 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Rows equal in doc_id and text are one document. Documents without words all stay. Columns stay as they are.
     """
-    (row,) = spare(docs, "dedup_row")
+    row, lone = spare(docs, "dedup_row", "dedup_lone")
     found = settle(classes(docs.select("doc_id", "text"), **how))
     first = found.where("set is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    stay = first.select(F.col("first.row").alias(row))
-    empty = found.where("set is null").select(F.col("row").alias(row)).distinct()
-    rows = docs.withColumn(row, row_key())
-    kept = rows.join(stay, row, "left_semi").dropDuplicates([row])
-    return kept.unionByName(rows.join(empty, row, "left_semi")).select(*docs.columns)
+    stay = first.select(F.col("first.row").alias(row), F.lit(True).alias(lone))
+    stay = stay.unionByName(found.where("set is null").select(F.col("row").alias(row), F.lit(False).alias(lone)).distinct())
+    kept = docs.withColumn(row, row_key()).join(stay, row)
+    twice = found.where("set is not null").groupBy("row").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    if twice:  # of rows equal in doc_id and text one stays
+        kept = kept.withColumn(lone, F.when(F.col(lone), F.lit(-1)).otherwise(F.monotonically_increasing_id())).dropDuplicates([row, lone])
+    return kept.select(*docs.columns)
