@@ -32,6 +32,11 @@ def _set(df: DataFrame, path: str, value: Val, drop: tuple[str, ...] = ()) -> Da
     return df.select(*columns(put(fields, path, value)))
 
 
+def _elements(v: Val) -> Column:
+    """What an array is joined on: its distinct elements, none if it is empty, null if it is null or missing."""
+    return F.coalesce(F.array_distinct(v.col), F.array(F.lit(None).cast(v.type.elementType)))
+
+
 def _keys(v: Val) -> tuple[Val, bool]:
     """The value that is joined on, and whether it is one of an array's elements."""
     return (Val(v.col, v.type.elementType), True) if v.array else (v, False)
@@ -77,7 +82,7 @@ def _lookup_equal(frame: Frame, foreign: DataFrame, local_field: str, foreign_fi
     (own, own_many), (far, far_many) = _keys(local), _keys(other)
     renamed = foreign.select(whole(foreign).alias("__doc"), (far.col if not other.missing else F.lit(None)).alias("__far"))
     if far_many:
-        renamed = renamed.withColumn("__far", F.explode(F.array_distinct("__far")))
+        renamed = renamed.withColumn("__far", F.explode(_elements(Val(F.col("__far"), other.type))))
     if other.missing:
         far = Val(F.col("__far"), own.type)
         renamed = renamed.withColumn("__far", F.lit(None).cast(own.type if not own.null else T.StringType()))
@@ -87,33 +92,33 @@ def _lookup_equal(frame: Frame, foreign: DataFrame, local_field: str, foreign_fi
     pair = _aligned(Val(F.col("__own"), own.type if not own.null else T.StringType()), far if not far.null else Val(F.col("__far"), T.StringType()))
     never = pair is None
     on = F.lit(False) if never else pair[0].eqNullSafe(pair[1])  # missing meets null
-    if join and not own_many and not far_many:
+    how = "inner" if join == "some" else "left"  # some: rows that find something
+    if join and join != "some" and not own_many and not far_many:
         keyed = df.withColumn("__own", own.col)
-        if join in ("semi", "anti"):
-            out = keyed.join(renamed, on, f"left_{join}").drop("__own")
-            return Frame(out if join == "semi" else _set(out, as_, Val(F.array().cast(T.ArrayType(item)), T.ArrayType(item))), frame.order)
+        if join == "anti":
+            out = keyed.join(renamed, on, "left_anti").drop("__own")
+            return Frame(_set(out, as_, Val(F.array().cast(T.ArrayType(item)), T.ArrayType(item))), frame.order)
         out = keyed.join(renamed, on, join)
         return Frame(_set(out, as_, Val(F.col("__doc"), item), ("__own", "__doc", "__far")), frame.order)
-    if join:
+    if join and join != "some":
         from docweave.operators.rows import unwind
 
         nested = _lookup_equal(frame, foreign, local_field, foreign_field, as_, context, None)
-        if join in ("semi", "anti"):
-            keep = F.size(quoted(as_)) > 0
-            return Frame(nested.df.where(keep if join == "semi" else ~keep).drop(*([as_] if join == "semi" else [])), nested.order)
+        if join == "anti":
+            return Frame(nested.df.where(F.size(quoted(as_)) == 0), nested.order)
         return unwind({"path": f"${as_}", "preserveNullAndEmptyArrays": join == "left"}, nested, context)
     numbered = renamed.withColumn("__i", F.monotonically_increasing_id())
     listed = F.transform(F.array_sort(F.collect_list(F.struct(F.col("__i").alias("i"), F.col("__doc").alias("v")))), lambda x: x["v"])
     if not own_many and not far_many:
         grouped = numbered.groupBy("__far").agg(listed.alias("__docs"))
-        joined = df.withColumn("__own", own.col).join(grouped, on, "left")
+        joined = df.withColumn("__own", own.col).join(grouped, on, how)
     else:
         # any element of one side that equals any of the other: pairs, each counted once
         rows = df.withColumn("__row", F.monotonically_increasing_id())
         rows = settle(rows)
-        keys = rows.select("__row", (F.explode(F.array_distinct(local.col)) if own_many else own.col).alias("__own"))
+        keys = rows.select("__row", (F.explode(_elements(local)) if own_many else own.col).alias("__own"))
         pairs = keys.join(numbered, on).select("__row", "__i", "__doc").dropDuplicates(["__row", "__i"])
-        joined = rows.join(pairs.groupBy("__row").agg(listed.alias("__docs")), "__row", "left")
+        joined = rows.join(pairs.groupBy("__row").agg(listed.alias("__docs")), "__row", how)
     docs = F.coalesce("__docs", F.array().cast(T.ArrayType(item)))
     helpers = tuple(c for c in joined.columns if c in ("__own", "__far", "__docs", "__row"))
     return Frame(_set(joined, as_, Val(docs, T.ArrayType(item)), helpers), frame.order)
@@ -121,13 +126,16 @@ def _lookup_equal(frame: Frame, foreign: DataFrame, local_field: str, foreign_fi
 
 def _lookup_pipeline(spec: dict, frame: Frame, context: Context, both: bool) -> Frame:
     """A correlated pipeline runs once over the pairs of outer and foreign rows, whose owners its stages keep apart; equalities between both
-    sides in its first filter become keys of the join. An uncorrelated one runs once, and its one row of results is joined to all rows."""
+    sides in its first filter become keys of the join. An uncorrelated one runs once, and its one row of results is joined to all rows.
+
+    Variables of enclosing lookups go along in columns of their own, named by depth, if the pipeline names them."""
     let = spec.get("let", {})
     if not isinstance(let, dict) or not isinstance(spec["pipeline"], list):
         raise InvalidStage("$lookup takes let and a pipeline")
     pipeline = spec["pipeline"]
     foreign = _foreign(spec["from"], context) if "from" in spec else None
-    if not let and not both:
+    carried = [c for c in frame.df.columns if c.startswith(LET)]
+    if not let and not both and not (carried and _names(pipeline, set(context.variables))):
         inner = run_pipeline(pipeline, foreign, context.inside("$lookup"))
         rows = visible(inner.df)
         kind = T.ArrayType(T.StructType(list(rows.schema)))
@@ -138,8 +146,8 @@ def _lookup_pipeline(spec: dict, frame: Frame, context: Context, both: bool) ->
     scope = Scope(rows.schema, context.variables)
     owner = F.col("__row").alias(OWNER)
     outer: dict[str, Val] = {}
-    sent = [owner]
-    for i, (name, e) in enumerate(let.items()):
+    sent = [owner, *carried]
+    for i, (name, e) in enumerate(let.items(), len(carried)):
         v = bound(compile_expression(e, scope))
         kind = v.type if not v.null else T.StringType()
         sent.append(v.col.cast(kind).alias(f"{LET}{i}") if v.null else v.col.alias(f"{LET}{i}"))
@@ -154,9 +162,10 @@ def _lookup_pipeline(spec: dict, frame: Frame, context: Context, both: bool) ->
             local = Val(F.lit(None).cast(other.type if not other.null else T.StringType()), other.type if not other.null else T.StringType())
         if other.missing:
             other = Val(F.lit(None).cast(local.type), local.type)
-        sent.append(local.col.alias(f"{LET}_own"))
-        condition.append(_any_equal(Val(F.col(f"{LET}_own"), local.type), other))
-    condition += _equalities(pipeline, outer, Scope(far.schema, {}))
+        own = f"{LET}_own{len(carried)}"
+        sent.append(local.col.alias(own))
+        condition.append(_any_equal(Val(F.col(own), local.type), other))
+    condition += _equalities(pipeline, {**context.variables, **outer}, Scope(far.schema, {}))
     pairs = rows.select(*sent).join(far, reduce(lambda a, b: a & b, condition) if condition else F.lit(True))
     inner = run_pipeline(pipeline, Frame(pairs, foreign.order), context.inside("$lookup", outer))
     if OWNER not in inner.df.columns:
@@ -170,6 +179,15 @@ def _lookup_pipeline(spec: dict, frame: Frame, context: Context, both: bool) ->
     return Frame(_counted(made, pipeline, spec["as"], kind), frame.order)
 
 
+def _names(part: Any, variables: set[str]) -> bool:
+    """Whether a part of a pipeline names one of the variables."""
+    if isinstance(part, str):
+        return part.startswith("$$") and part[2:].split(".")[0] in variables
+    if isinstance(part, dict):
+        return any(_names(v, variables) for v in part.values())
+    return isinstance(part, list | tuple) and any(_names(v, variables) for v in part)
+
+
 def _counted(df: DataFrame, pipeline: list, as_: str, kind: T.ArrayType) -> DataFrame:
     """A pipeline that ends in $count gives a row with 0 where nothing came."""
     if not pipeline or "$count" not in pipeline[-1]:
@@ -204,14 +222,17 @@ def _in_order(rows: DataFrame) -> Column:
 
 
 def _any_equal(a: Val, b: Val) -> Column:
-    if a.array and b.array:
-        return F.exists(b.col, lambda y: F.exists(a.col, lambda x: x.eqNullSafe(y)))
-    if a.array:
-        return F.exists(a.col, lambda x: x.eqNullSafe(b.col))
-    if b.array:
-        return F.exists(b.col, lambda y: y.eqNullSafe(a.col))
-    pair = _aligned(a, b)
-    return F.lit(False) if pair is None else pair[0].eqNullSafe(pair[1])
+    """Whether an element or value of one side equals one of the other; null equals null."""
+    (own, own_many), (far, far_many) = _keys(a), _keys(b)
+    try:
+        kind = common([own.type, far.type])
+    except InvalidArgument:
+        return F.lit(False)
+    if not own_many and not far_many:
+        pair = _aligned(a, b)
+        return F.lit(False) if pair is None else pair[0].eqNullSafe(pair[1])
+    one, other = (_elements(v).cast(T.ArrayType(kind)) if many else F.array(v.col.cast(kind)) for v, many in ((a, own_many), (b, far_many)))
+    return F.exists(one, lambda x: F.exists(other, lambda y: x.eqNullSafe(y)))
 
 
 @stage("$unionWith")
@@ -246,30 +267,47 @@ def graph_lookup(spec: Any, frame: Frame, context: Context) -> Frame:
         raise InvalidStage("$graphLookup: maxDepth is a length")
     foreign = visible(_foreign(spec["from"], context).df)
     item = T.StructType(list(foreign.schema))
-    if "restrictSearchWithMatch" in spec:
-        foreign = foreign.where(compile_filter(spec["restrictSearchWithMatch"], Scope(foreign.schema, {})))
+    restrict = spec.get("restrictSearchWithMatch")
+    carried = [c for c in frame.df.columns if c.startswith(LET)]
+    by_row = bool(carried) and restrict is not None and _names(restrict, set(context.variables))
+    if restrict is not None and not by_row:
+        foreign = foreign.where(compile_filter(restrict, Scope(foreign.schema, context.variables)))
     scope = Scope(foreign.schema, {})
     to, back = scope.field(spec["connectToField"]), scope.field(spec["connectFromField"])
-    nodes = foreign.select(whole(foreign).alias("doc"), F.sha2(F.to_json(whole(foreign), {"ignoreNullFields": "false"}), 256).alias("node"), (F.explode(to.col) if to.array else to.col).alias("to"), back.col.alias("back"))
     rows = settle(frame.numbered().withColumnRenamed(ROW_ID, "__row"))
-    start = Scope(rows.schema, context.variables)
-    first = compile_expression(spec["startWith"], start)
-    nodes = settle(nodes)
-    frontier = rows.select(F.col("__row").alias("row"), (F.explode(first.col) if first.array else first.col).alias("at")).distinct()
-    if to.missing or first.null:
-        frontier = frontier.where(F.lit(False))
-    kind = common([first.type.elementType if first.array else first.type, to.type.elementType if to.array else to.type])
+    first = compile_expression(spec["startWith"], Scope(rows.schema, context.variables))
+    kinds = [_keys(v)[0].type for v in (first, back, to) if not v.null]
+    kind = common(kinds) if kinds else T.StringType()
+
+    def values(v: Val, nulls: bool) -> Column:
+        """The values of a field in order, nulls among them only if asked for."""
+        if v.null:
+            return F.array(F.lit(None).cast(kind)) if nulls else F.array().cast(T.ArrayType(kind))
+        own = F.coalesce(v.col, F.array(F.lit(None).cast(v.type.elementType))) if v.array else F.array(v.col)
+        own = own.cast(T.ArrayType(kind))
+        return own if nulls else F.filter(own, lambda x: x.isNotNull())
+
+    # a document is known by its content and stands where it comes first; null meets null and missing
+    seen = foreign.select(whole(foreign).alias("doc"), F.array_distinct(values(to, True)).alias("keys"), values(back, False).alias("back"), F.monotonically_increasing_id().alias("seq"))
+    seen = settle(seen.withColumn("node", F.sha2(F.to_json(F.struct("doc"), {"ignoreNullFields": "false"}), 256)))
+    nodes = settle(seen.select("doc", "node", "back", "seq", F.explode("keys").alias("to")))
+    kept = rows.select(F.col("__row").alias("let_row"), *carried)
+    frontier = rows.select(F.col("__row").alias("row"), F.posexplode(values(first, True)).alias("nth", "at")).withColumn("path", F.array(F.col("nth").cast("long"))).drop("nth")
     visited: DataFrame | None = None
     depth = 0
     while True:
-        found = frontier.join(nodes, frontier["at"].cast(kind) == nodes["to"].cast(kind)).select("row", "node", "doc", "back").dropDuplicates(["row", "node"])
+        # path: places in the queue that led here, so that a depth comes in the order of its parents, then in that of the collection
+        found = frontier.join(nodes, frontier["at"].eqNullSafe(nodes["to"])).withColumn("path", F.concat("path", F.array("seq")))
+        if by_row:
+            found = found.join(kept, found["row"] == kept["let_row"]).where(compile_filter(restrict, Scope(foreign.schema, context.variables, None, Val(F.col("doc"), item))))
+        found = found.groupBy("row", "node").agg(F.min_by(F.struct("doc", "back"), "path").alias("own"), F.min("path").alias("path")).select("row", "node", "own.doc", "own.back", "path")
         if visited is not None:
             found = found.join(visited.select("row", "node"), ["row", "node"], "left_anti")
         found = settle(found.withColumn("depth", F.lit(depth).cast("long")))
         visited = found if visited is None else visited.unionByName(found)
         if most is not None and depth >= most or not found.limit(1).count():
             break
-        frontier = found.select("row", (F.explode("back") if back.array else F.col("back")).alias("at")).where("at is not null").distinct()
+        frontier = found.select("row", "path", F.posexplode("back").alias("nth", "at")).withColumn("path", F.concat("path", F.array(F.col("nth").cast("long")))).drop("nth")
         depth += 1
     name = spec.get("depthField")
     if name is not None:
@@ -277,7 +315,7 @@ def graph_lookup(spec: Any, frame: Frame, context: Context) -> Frame:
         out, item = F.struct(*fields), T.StructType([*[f for f in item if f.name != name], T.StructField(name, T.LongType())])
     else:
         out = F.col("doc")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("depth", "node", out.alias("v")))), lambda x: x["v"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("depth", "path", out.alias("v")))), lambda x: x["v"])
     joined = rows.join(visited.groupBy(F.col("row").alias("__row")).agg(listed.alias("__docs")), "__row", "left")
     docs = F.coalesce("__docs", F.array().cast(T.ArrayType(item)))
     return Frame(_set(joined, spec["as"], Val(docs, T.ArrayType(item)), ("__docs", "__row")), frame.order)

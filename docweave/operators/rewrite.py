@@ -20,13 +20,9 @@ def rewritten(stages: Stages) -> Stages:
             out.append(("$lookup", {**spec, "__join": "left" if preserve else "inner"}))
             i += 1
         elif name == "$lookup" and _plain(spec) and after[0] == "$match" and (kind := _emptiness(after[1], spec["as"])):
-            # the array stays, as the field is still there: empty for anti, filled for semi
+            # the array stays, as the field is still there: empty for anti, filled for some
             out.append(("$lookup", {**spec, "__join": kind}))
-            if kind == "semi":
-                i += 1
-                out.append(("$lookup", spec))
-            else:
-                i += 1
+            i += 1
         else:
             out.append((name, spec))
         i += 1
@@ -50,5 +46,5 @@ def _emptiness(spec: Any, field: str) -> str | None:
     if spec in ({field: {"$size": 0}}, {field: {"$eq": []}}, {field: []}):
         return "anti"
     if spec == {field: {"$ne": []}}:
-        return "semi"
+        return "some"
     return None

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.errors import InvalidStage
+from docweave.errors import InvalidStage, UnsupportedStage
 from docweave.functions.base import META, OWNER, ROW_ID
 from docweave.operators.base import stage
 from docweave.plans.filter import compile_filter
@@ -70,8 +70,12 @@ def skip(spec: Any, frame: Frame, context: Context) -> Frame:
 def sample(spec: Any, frame: Frame, context: Context) -> Frame:
     if not isinstance(spec, dict) or set(spec) != {"size"}:
         raise InvalidStage("$sample takes a size")
-    if isinstance(spec["size"], bool) or not isinstance(spec["size"], int) or spec["size"] < 0:
-        raise InvalidStage("$sample takes a size")
+    if isinstance(spec["size"], bool) or not isinstance(spec["size"], int) or spec["size"] < 1:
+        raise InvalidStage("$sample takes a size of 1 or more")
+    if owned(frame.df):
+        raise UnsupportedStage("$sample does not draw for each row of an outer pipeline")
+    if frame.df.limit(spec["size"] + 1).count() <= spec["size"]:  # all rows, in their order
+        return frame
     # a top-n by a random key: no global sort
     drawn = frame.df.withColumn("__draw", F.rand()).orderBy("__draw").limit(spec["size"])
     return Frame(drawn.drop("__draw"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docweave.errors import InvalidArgument
 from docweave.functions.base import OWNER, ROW_ID, Scope, hidden, walk
 from docweave.values import Val, quoted
 
@@ -18,10 +19,13 @@ if TYPE_CHECKING:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; only a master on one machine, as in tests, may leave it unset."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docweave-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local["):
+            raise InvalidArgument("spark.checkpoint.dir is not set: it names the folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="docweave-"))
     return context.getCheckpointDir()
 
 
@@ -125,7 +129,3 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, in
         return sorted_, 0
     start = F.element_at(F.create_map(*[F.lit(v) for p, s in starts.items() for v in (p, s)]), F.shiftright(name, 33))
     return sorted_.withColumn(name, (start + F.col(name).bitwiseAND(low)).cast("long")), total
-
-
-def single_partition(*order: Column) -> Any:
-    return Window.orderBy(*order)

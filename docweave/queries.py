@@ -86,16 +86,6 @@ pipeline("filter_sample_rate_all", "orders", [{"$match": {"$sampleRate": 1.0}},
 pipeline("filter_sample_rate", "orders", [{"$match": {"$sampleRate": 0.5}}, fields(o_orderkey=1)])
 pipeline(
     "filter_arrays", "documents",
-    [
-        {"$set": {"words": {"$slice": [{"$split": ["$text", " "]}, 12]}}},
-        {"$match": {"words": {"$size": 12, "$all": ["the", "of"], "$elemMatch": {"$regex": "^a", "$ne": "and"}}}},
-        fields(doc_id=1, first={"$arrayElemAt": ["$words", 0]}),
-    ],
-    """WITH w AS (SELECT doc_id, list_slice(string_split(text, ' '), 1, 12) AS w FROM documents)
-       SELECT doc_id, w[1] AS first FROM w WHERE len(w) = 12 AND list_contains(w, 'the') AND list_contains(w, 'of') AND len(list_filter(w, lambda x: x LIKE 'a%' AND x <> 'and')) > 0""",
-)
-pipeline(
-    "filter_arrays_whole", "documents",
     [
         {"$set": {"words": {"$split": ["$text", " "]}, "head": {"$slice": [{"$split": ["$text", " "]}, 3]}}},
         {"$match": {"head": {"$size": 3}, "words": {"$all": ["the", "of"], "$elemMatch": {"$regex": "^a", "$ne": "and"}}}},
@@ -149,11 +139,6 @@ pipeline("stage_sample_all", "nation", [{"$sample": {"size": 1000}}, fields(n_na
 pipeline("stage_sample", "customer", [{"$sample": {"size": 10}}, fields(c_custkey=1)])
 pipeline(
     "stage_unwind", "documents",
-    [{"$match": {"doc_id": {"$lt": 200}}}, fields(doc_id=1, lines={"$split": ["$text", "\n"]}), {"$unwind": "$lines"}, {"$group": {"_id": "$doc_id", "n": {"$sum": 1}, "bytes": {"$sum": {"$strLenBytes": "$lines"}}}}],
-    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id < 200) SELECT doc_id AS _id, count(*)::BIGINT AS n, sum(strlen(line))::BIGINT AS bytes FROM l GROUP BY 1",
-)
-pipeline(
-    "stage_unwind_whole", "documents",
     [fields(doc_id=1, lines={"$split": ["$text", "\n"]}), {"$unwind": "$lines"}, {"$group": {"_id": "$doc_id", "n": {"$sum": 1}, "bytes": {"$sum": {"$strLenBytes": "$lines"}}}}],
     "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id AS _id, count(*)::BIGINT AS n, sum(strlen(line))::BIGINT AS bytes FROM l GROUP BY 1",
 )
@@ -210,7 +195,42 @@ pipeline(
     [{"$match": {"o_totalprice": {"$gt": 100000}}}, {"$lookup": {"from": "customer", "localField": "o_custkey", "foreignField": "c_custkey", "as": "c"}}, {"$unwind": "$c"}, {"$group": {"_id": "$c.c_mktsegment", "n": {"$sum": 1}, "total": {"$sum": "$o_totalprice"}}}, {"$set": {"total": {"$round": ["$total", 2]}}}],
     "SELECT c_mktsegment AS _id, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 100000 GROUP BY 1",
 )
-pipeline("lookup_anti", "customer orders", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$match": {"o": {"$size": 0}}}, fields(c_custkey=1)], "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+pipeline("lookup_anti", "customer supplier", [{"$lookup": {"from": "supplier", "localField": "c_custkey", "foreignField": "s_suppkey", "as": "s"}}, {"$match": {"s": {"$size": 0}}}, fields(c_custkey=1)], "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+pipeline(
+    "lookup_nested", "region nation supplier",
+    [
+        {"$lookup": {"from": "nation", "localField": "r_regionkey", "foreignField": "n_regionkey", "let": {"r": "$r_regionkey", "k": "$r_name"}, "as": "nations", "pipeline": [
+            {"$lookup": {"from": "supplier", "let": {"k": "$n_nationkey"}, "as": "s", "pipeline": [{"$match": {"$expr": {"$and": [{"$eq": ["$s_nationkey", "$$k"]}, {"$gt": ["$s_acctbal", {"$multiply": ["$$r", 1000]}]}]}}}, {"$project": {"s_suppkey": 1}}]}},
+            fields(n_name=1, n={"$size": "$s"}, name="$$k"),
+        ]}},
+        {"$unwind": "$nations"},
+        fields(r_name="$nations.name", n_name="$nations.n_name", n="$nations.n"),
+    ],
+    "SELECT r_name, n_name, count(s_suppkey)::BIGINT AS n FROM region JOIN nation ON n_regionkey = r_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > r_regionkey * 1000 GROUP BY 1, 2",
+)
+pipeline(
+    "lookup_null_arrays", "region",
+    [
+        {"$set": {"wanted": {"$cond": [{"$eq": [{"$mod": ["$r_regionkey", 2]}, 0]}, [{"$toInt": "$r_regionkey"}, 3], None]}}},
+        {"$lookup": {"localField": "wanted", "foreignField": "k", "pipeline": [{"$documents": [{"k": None, "v": 1}, {"k": 3, "v": 2}, {"k": 2, "v": 4}]}], "as": "d"}},
+        fields(r_name=1, total={"$toLong": {"$sum": {"$map": {"input": "$d", "as": "x", "in": "$$x.v"}}}}),
+    ],
+    "SELECT r_name, CASE WHEN r_regionkey % 2 = 1 THEN 1 WHEN r_regionkey = 2 THEN 6 ELSE 2 END::BIGINT AS total FROM region",
+)
+pipeline(
+    "graph_lookup_variables", "region nation",
+    [
+        {"$lookup": {"from": "nation", "let": {"r": "$r_regionkey"}, "as": "n", "pipeline": [
+            {"$match": {"$expr": {"$eq": ["$n_regionkey", "$$r"]}}},
+            {"$graphLookup": {"from": "nation", "startWith": "$n_regionkey", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "reach", "restrictSearchWithMatch": {"$expr": {"$lte": ["$n_nationkey", {"$add": ["$$r", 1]}]}}}},
+            fields(n={"$size": "$reach"}),
+        ]}},
+        fields(r_name=1, nations={"$size": "$n"}, reach={"$max": {"$map": {"input": "$n", "as": "x", "in": "$$x.n"}}}),
+    ],
+    """WITH RECURSIVE w(r, node) AS (SELECT r_regionkey, n_nationkey FROM region JOIN nation ON n_nationkey = r_regionkey
+         UNION SELECT w.r, c.n_nationkey FROM w JOIN nation p ON p.n_nationkey = w.node JOIN nation c ON c.n_nationkey = p.n_regionkey AND c.n_nationkey <= w.r + 1)
+       SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey)::BIGINT AS nations, (SELECT count(*) FROM w WHERE w.r = r_regionkey)::BIGINT AS reach FROM region""",
+)
 pipeline("lookup_semi", "customer orders", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$match": {"o": {"$ne": []}}}, fields(c_custkey=1, n={"$size": "$o"})], "SELECT o_custkey AS c_custkey, count(*)::BIGINT AS n FROM orders GROUP BY 1")
 pipeline(
     "lookup_arrays", "region nation",
@@ -219,15 +239,6 @@ pipeline(
 )
 pipeline(
     "lookup_correlated", "customer orders",
-    [
-        {"$match": {"c_custkey": {"$lte": 60}}},
-        {"$lookup": {"from": "orders", "let": {"k": "$c_custkey", "b": "$c_acctbal"}, "pipeline": [{"$match": {"$expr": {"$and": [{"$eq": ["$o_custkey", "$$k"]}, {"$gt": ["$o_totalprice", {"$multiply": ["$$b", 10]}]}]}}}, {"$project": {"o_orderkey": 1}}], "as": "o"}},
-        fields(c_custkey=1, n={"$size": "$o"}),
-    ],
-    "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > c_acctbal * 10)::BIGINT AS n FROM customer WHERE c_custkey <= 60",
-)
-pipeline(
-    "lookup_correlated_whole", "customer orders",
     [
         {"$lookup": {"from": "orders", "let": {"k": "$c_custkey", "b": "$c_acctbal"}, "pipeline": [{"$match": {"$expr": {"$and": [{"$eq": ["$o_custkey", "$$k"]}, {"$gt": ["$o_totalprice", {"$multiply": ["$$b", 10]}]}]}}}, {"$project": {"o_orderkey": 1}}], "as": "o"}},
         fields(c_custkey=1, n={"$size": "$o"}),
@@ -239,19 +250,6 @@ pipeline("union_with", "supplier customer", [fields(key="$s_suppkey", bal="$s_ac
          "SELECT s_suppkey AS key, s_acctbal AS bal, NULL::VARCHAR AS segment FROM supplier UNION ALL SELECT c_custkey, NULL, c_mktsegment FROM customer WHERE c_acctbal < 0")
 pipeline(
     "graph_lookup", "nation",
-    [
-        {"$match": {"n_nationkey": {"$lt": 6}}},
-        {"$set": {"next": {"$toInt": {"$add": ["$n_nationkey", 3]}}}},
-        {"$graphLookup": {"from": "nation", "startWith": "$next", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "reach", "maxDepth": 3, "depthField": "depth"}},
-        fields(n_nationkey=1, n={"$size": "$reach"}, deepest={"$max": {"$map": {"input": "$reach", "as": "r", "in": "$$r.depth"}}}),
-    ],
-    """WITH RECURSIVE w(root, node, depth) AS (SELECT a.n_nationkey, b.n_nationkey, 0 FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 3 WHERE a.n_nationkey < 6
-         UNION SELECT w.root, c.n_nationkey, w.depth + 1 FROM w JOIN nation p ON p.n_nationkey = w.node JOIN nation c ON c.n_nationkey = p.n_regionkey WHERE w.depth < 3),
-       f AS (SELECT root, node, min(depth) AS depth FROM w GROUP BY 1, 2)
-       SELECT root AS n_nationkey, count(*)::BIGINT AS n, max(depth)::BIGINT AS deepest FROM f GROUP BY 1""",
-)
-pipeline(
-    "graph_lookup_whole", "nation",
     [
         {"$set": {"next": {"$toInt": {"$add": ["$n_nationkey", 3]}}}},
         {"$graphLookup": {"from": "nation", "startWith": "$next", "connectFromField": "n_regionkey", "connectToField": "n_nationkey", "as": "reach", "maxDepth": 3, "depthField": "depth"}},
@@ -418,19 +416,6 @@ pipeline(
 _T = {"$slice": ["$embedding", 8]}
 pipeline(
     "expr_arrays", "embeddings",
-    [
-        {"$match": {"vec_id": {"$lt": 400}}},
-        {"$project": {"_id": 0, "vec_id": 1, "label": 1, "a": {"$map": {"input": _T, "as": "x", "in": {"$toLong": {"$multiply": ["$$x", 100]}}}}}},
-        fields(vec_id=1, at={"$arrayElemAt": ["$a", -2]}, first={"$first": "$a"}, last={"$last": "$a"}, size={"$size": "$a"}, isarr={"$isArray": "$a"}, pos={"$size": {"$filter": {"input": "$a", "as": "x", "cond": {"$gt": ["$$x", 0]}}}}, sum={"$reduce": {"input": "$a", "initialValue": 0, "in": {"$add": ["$$value", "$$this"]}}},
-            rev={"$arrayElemAt": [{"$reverseArray": "$a"}, 0]}, cat={"$size": {"$concatArrays": ["$a", [1, 2]]}}, idx={"$indexOfArray": ["$a", {"$arrayElemAt": ["$a", 3]}]}, rng={"$size": {"$range": [0, {"$size": "$a"}, 3]}}, slice={"$arrayElemAt": [{"$slice": ["$a", -3, 2]}, 0]},
-            low={"$arrayElemAt": [{"$sortArray": {"input": "$a", "sortBy": 1}}, 0]}, zip={"$arrayElemAt": [{"$arrayElemAt": [{"$zip": {"inputs": ["$a", [7, 8, 9]]}}, 2]}, 1]}, f2={"$sum": {"$firstN": {"input": "$a", "n": 2}}}, l2={"$sum": {"$lastN": {"input": "$a", "n": 2}}}, m2={"$sum": {"$maxN": {"input": "$a", "n": 2}}}, n2={"$sum": {"$minN": {"input": "$a", "n": 2}}}),
-    ],
-    """WITH e AS (SELECT vec_id, list_transform(list_slice(embedding, 1, 8), lambda x: trunc(x::DOUBLE * 100)::BIGINT) AS a FROM embeddings WHERE vec_id < 400)
-       SELECT vec_id, a[-2] AS at, a[1] AS first, a[-1] AS last, len(a)::BIGINT AS size, true AS isarr, len(list_filter(a, lambda x: x > 0))::BIGINT AS pos, list_sum(a)::BIGINT AS sum, a[-1] AS rev, (len(a) + 2)::BIGINT AS cat, (list_position(a, a[4]) - 1)::BIGINT AS idx, 3::BIGINT AS rng, a[-3] AS slice, list_min(a) AS low, 9::BIGINT AS zip,
-       (a[1] + a[2])::BIGINT AS f2, (a[-1] + a[-2])::BIGINT AS l2, list_sum(list_sort(a, 'DESC')[1:2])::BIGINT AS m2, list_sum(list_sort(a)[1:2])::BIGINT AS n2 FROM e""",
-)
-pipeline(
-    "expr_arrays_whole", "embeddings",
     [
         {"$project": {"_id": 0, "vec_id": 1, "label": 1, "a": {"$map": {"input": "$embedding", "as": "x", "in": {"$toLong": {"$multiply": ["$$x", 100]}}}}}},
         fields(vec_id=1, at={"$arrayElemAt": ["$a", -2]}, first={"$first": "$a"}, last={"$last": "$a"}, size={"$size": "$a"}, isarr={"$isArray": "$a"}, pos={"$size": {"$filter": {"input": "$a", "as": "x", "cond": {"$gt": ["$$x", 0]}}}}, sum={"$reduce": {"input": "$a", "initialValue": 0, "in": {"$add": ["$$value", "$$this"]}}},
@@ -451,16 +436,6 @@ pipeline(
 )
 pipeline(
     "expr_statistics", "embeddings",
-    [
-        {"$match": {"vec_id": {"$lt": 400}}},
-        fields(vec_id=1, sum=_R({"$sum": "$embedding"}), avg=_R({"$avg": "$embedding"}), min=_R({"$min": {"$map": {"input": "$embedding", "as": "x", "in": {"$toDouble": "$$x"}}}}), max=_R({"$max": {"$map": {"input": "$embedding", "as": "x", "in": {"$toDouble": "$$x"}}}}), pop=_R({"$stdDevPop": "$embedding"}), samp=_R({"$stdDevSamp": "$embedding"}),
-            med=_R({"$median": {"input": "$embedding", "method": "continuous"}}), p90=_R({"$arrayElemAt": [{"$percentile": {"input": "$embedding", "p": [0.9], "method": "discrete"}}, 0]}), several={"$max": ["$label", 4, None]}),
-    ],
-    """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE vec_id < 400) SELECT vec_id, round(list_sum(e), 9) AS sum, round(list_avg(e), 9) AS avg, round(list_min(e), 9) AS min, round(list_max(e), 9) AS max, round(list_stddev_pop(e), 9) AS pop, round(list_stddev_samp(e), 9) AS samp,
-       round(list_aggregate(e, 'quantile_cont', 0.5), 9) AS med, round(list_sort(e)[ceil(len(e) * 0.9)::INTEGER], 9) AS p90, greatest(label, 4)::INTEGER AS several FROM e""",
-)
-pipeline(
-    "expr_statistics_whole", "embeddings",
     [
         fields(vec_id=1, sum=_R({"$sum": "$embedding"}), avg=_R({"$avg": "$embedding"}), min=_R({"$min": {"$map": {"input": "$embedding", "as": "x", "in": {"$toDouble": "$$x"}}}}), max=_R({"$max": {"$map": {"input": "$embedding", "as": "x", "in": {"$toDouble": "$$x"}}}}), pop=_R({"$stdDevPop": "$embedding"}), samp=_R({"$stdDevSamp": "$embedding"}),
             med=_R({"$median": {"input": "$embedding", "method": "continuous"}}), p90=_R({"$arrayElemAt": [{"$percentile": {"input": "$embedding", "p": [0.9], "method": "discrete"}}, 0]}), several={"$max": ["$label", 4, None]}),
