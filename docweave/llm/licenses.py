@@ -7,6 +7,9 @@ words inserted or lost) merge to a span; spans are verified word by word against
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +44,17 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
 
 
-def _grams(of: Column, k: int) -> Column:
-    """Hashes of the k words from each place on."""
-    out = F.transform(of, lambda x: F.xxhash64(x))
-    for step in range(1, k):
-        after = F.slice(of, step + 1, F.greatest(F.size(of) - step, F.lit(0)))
-        out = F.zip_with(F.slice(out, 1, F.greatest(F.size(of) - step, F.lit(0))), after, lambda a, b: F.xxhash64(a, b))
-    return out
+def _grams(of: Column) -> Column:
+    """Structs of the K words from each place on, made by shifted copies, so that a gram holds its own words and no others."""
+    n = F.greatest(F.size(of) - (K - 1), F.lit(0))
+    return F.arrays_zip(*[F.slice(of, step + 1, n) for step in range(K)])
+
+
+def _places(rows: DataFrame, of: str, place: str) -> DataFrame:
+    """A row for each gram of the words in column `of`, with its place, its hash and its words under the place's name."""
+    rolled = rows.select(*[c for c in rows.columns if c != of], F.posexplode(_grams(F.col(of))).alias(place, "own"))
+    own = [F.col("own")[name] for name in rolled.schema["own"].dataType.names]
+    return rolled.select("*", F.xxhash64(*own).alias("gram"), *[w.alias(f"{place}{k}") for k, w in enumerate(own)]).drop("own")
 
 
 def template_rows(spark: SparkSession, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -63,13 +70,11 @@ def spans(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     row: hash of doc_id and text. score: the part of the template's words that stand in the span on its diagonals; a phrase needs all.
     """
     own = template_rows(docs.sparkSession, phrases, templates)
-    places = own.select("template", "label", "phrase", F.col("words").alias("own"), F.posexplode(_grams(F.col("words"), K)).alias("t", "gram"))
+    places = _places(own.select("template", "label", "phrase", F.size("words").alias("length"), "words"), "words", "t")
     said = docs.select(row_key().alias("row"), words(F.col("text")).alias("said"))
-    rolled = said.select("row", "said", F.posexplode(_grams(F.col("said"), K)).alias("p", "gram"))
-    hits = rolled.join(F.broadcast(places), "gram")
-    # the words that a hit vouches for, compared one by one
-    true_hit = F.forall(F.sequence(F.lit(0), F.lit(K - 1)), lambda i: F.get("said", F.col("p") + i) == F.get("own", F.col("t") + i))
-    hits = settle(hits.where(true_hit).select("row", "template", "label", "phrase", F.size("own").alias("length"), "p", "t", (F.col("p") - F.col("t")).alias("diagonal")).distinct())
+    same = [F.col(f"p{k}") == F.col(f"t{k}") for k in range(K)]  # the words that a hit vouches for, compared one by one
+    hits = _places(said, "said", "p").join(F.broadcast(places), "gram").where(reduce(and_, same))
+    hits = settle(hits.select("row", "template", "label", "phrase", "length", "p", "t", (F.col("p") - F.col("t")).alias("diagonal")).distinct())
     votes = hits.groupBy("row", "template", "label", "phrase", "length", "diagonal").agg(F.count("*").alias("votes"), F.min("p").alias("low"), (F.max("p") + K).alias("high"))
     # of a phrase all k-grams stand on one diagonal
     exact = votes.where("phrase and votes = length - 1").select("row", "label", "phrase", F.col("low").alias("start"), F.col("high").alias("end"), F.lit(1.0).alias("score"))
