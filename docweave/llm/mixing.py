@@ -20,7 +20,7 @@ from docweave.llm.common import settle, small, spare
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one flight takes; the number of blocks grows with the table instead.
 BLOCK = 4096
-FIELDS = "row long, block_of long, source string, size long, whole int, part double, copies int"
+FIELDS = "row {}, block_of long, source string, size long, whole int, part double, copies int"
 
 
 def words(text: Column) -> Column:
@@ -106,7 +106,7 @@ def _land(size: list[float], part: list[float], held: list[int]) -> None:
 
 def _fly(land: bool):
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([(c, "ascending") for c in ("row", "size", "part")])
+        rows = rows.sort_by([(c, "ascending") for c in ("row", "size", "part")])  # row: an id of any type that has an order, or a hash
         size, part = rows["size"].to_numpy(), rows["part"].to_numpy()
         seed = int(rows["block_of"][0].as_py()) & (2**63 - 1)
         part = flight(size, part, np.random.default_rng([seed, len(size), int(size.sum())]), land)
@@ -118,11 +118,12 @@ def _fly(land: bool):
 
 
 def plan(units: DataFrame) -> DataFrame:
-    """units (row long, source, size long, ratio double) with copies int, decided; every row counts, repeated ones too.
+    """units (row, source, size long, ratio double) with copies int, decided; every row counts, repeated ones too.
 
     row only orders and seeds, so that reruns agree. Rows without words have expected copies like any other.
     """
     rows = units.select("row", F.lit(0).cast("long").alias("block_of"), "source", "size", F.floor("ratio").cast("int").alias("whole"), (F.col("ratio") - F.floor("ratio")).alias("part"), F.lit(None).cast("int").alias("copies"))
+    fields = FIELDS.format(units.schema["row"].dataType.simpleString())
     settled, left = [], rows
     while True:
         counts = settle(left.groupBy(F.col("source").alias("of")).agg(F.count("*").alias("n")))
@@ -133,7 +134,7 @@ def plan(units: DataFrame) -> DataFrame:
         blocks = small(counts.select("of", (F.lit(1) if land else F.ceil(F.col("n") / (BLOCK // 2))).cast("long").alias("blocks")))
         dealt = left.join(blocks, F.col("source").eqNullSafe(F.col("of"))).select(left["*"], F.pmod(F.xxhash64("row", "size"), F.col("blocks")).alias("deal"))
         dealt = dealt.withColumn("block_of", F.xxhash64("source", "deal", F.lit(len(settled)))).drop("deal")
-        done = settle(dealt.groupBy("block_of").applyInArrow(_fly(land), FIELDS))
+        done = settle(dealt.groupBy("block_of").applyInArrow(_fly(land), fields))
         settled.append(done.where("copies is not null"))
         if land:
             break
@@ -159,12 +160,11 @@ def _with_goals(narrow: DataFrame, goals: DataFrame) -> DataFrame:
 def taken(docs: DataFrame, weights=(5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
     """One row per document: doc_id, size (words), source, source_size, target, copies, and taken = copies * size. Texts do not travel.
 
-    Null text: size 0. Null source: a source of its own, last. Null or repeated doc_id: rows are decided one by one.
+    Null text: size 0. Null source: a source of its own, last. Null or repeated doc_id: rows are decided one by one. Ids are of any simple type.
     """
     narrow, goals = _sized(docs, words(F.col("text")), weights, share, most)
     units = _with_goals(narrow, goals)
-    # the id rides through the plan in place of the hash where it is a number
-    planned = plan(units.select(F.col("doc_id").cast("long").alias("row"), "source", "size", "ratio"))
+    planned = plan(units.select(F.col("doc_id").alias("row"), "source", "size", "ratio"))  # the id rides through the plan in place of the hash
     out = _with_goals(planned, goals)
     return out.select(F.col("row").alias("doc_id"), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
