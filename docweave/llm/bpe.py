@@ -2,14 +2,14 @@
 
 Pre-tokens that are new to a worker are merged together as padded matrices, one for each length bucket: in a round
 every row merges its leftmost minimum-rank pair, so all rows lose one column at once; pairs are looked up in an
-open-addressing hash table, only beside the merge, and finished rows leave the matrix.
+open-addressing hash table, only beside the merge, and finished rows leave the matrix. A very long pre-token is a matrix of one row, which
+merges that pair at all its places in a round, so that the rounds do not grow with its length.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from docweave.llm.common import WordHasher, ragged, replaced, slices, utf8
 
 NONE = np.int32(2**31 - 1)
-#: Pre-tokens longer than this are merged with a heap by the same rule; a matrix would need a round for each byte.
+#: Rows wider than this merge all places of their minimum-rank pair in a round, where that gives what one after another would.
 WIDEST = 128
 #: Distinct pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 1_500_000
@@ -214,7 +214,7 @@ class Codec:
             members = np.flatnonzero(bucket == width)
             if width > WIDEST:
                 for k in members:
-                    ids = self._merge_long(data[starts[k] : starts[k] + lengths[k]].tobytes())
+                    ids = self._merge_wide(data[starts[k] : starts[k] + lengths[k]])
                     made.append((np.full(len(ids), k), ids))
             else:
                 self._merge_bucket(data, starts, lengths, members, int(width), made)
@@ -254,36 +254,30 @@ class Codec:
             right = np.flatnonzero(j < ranks.shape[1])
             ranks[right, j[right]] = self.rank(m[right, j[right]], m[right, j[right] + 1])
 
-    def _merge_long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one very long piece: a heap of (rank, place) over a linked list."""
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        made = self.rank(np.array(ids[:-1]), np.array(ids[1:])).tolist() + [int(NONE)]
-        heap = [(r, i) for i, r in enumerate(made) if r != NONE]
-        heapq.heapify(heap)
-
-        def renew(i: int) -> None:
-            made[i] = int(NONE)
-            if after[i] < n:
-                token = self.ids.get(self.tokens[ids[i]] + self.tokens[ids[after[i]]])
-                if token is not None:
-                    made[i] = token
-                    heapq.heappush(heap, (token, i))
-
-        while heap:
-            r, i = heapq.heappop(heap)
-            if ids[i] < 0 or made[i] != r:
-                continue
-            gone = after[i]
-            ids[i], ids[gone], made[gone] = r, -1, int(NONE)
-            after[i] = after[gone]
-            if after[i] < n:
-                before[after[i]] = i
-            renew(i)
-            if before[i] >= 0:
-                renew(before[i])
-        return np.array([i for i in ids if i >= 0], np.int32)
+    def _merge_wide(self, piece: np.ndarray) -> np.ndarray:
+        """The same merges for one very long piece. A round takes all disjoint places of the minimum-rank pair from the left, but only the
+        first if one of the pairs that come up beside them, then or on the way, would be merged before the others."""
+        ids = self.single[piece]
+        ranks = self.rank(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            begins = np.append(True, np.diff(at) > 1)
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))) % 2 == 0]
+            follows = at[at + 2 < len(ids)]
+            if len(at) > 1 and (self.rank(np.full(len(follows), best), ids[follows + 2]) <= best).any():
+                at = at[:1]
+            while True:
+                merged = ids.copy()
+                merged[at] = best
+                merged, spot = np.delete(merged, at + 1), at - np.arange(len(at))
+                left, right = spot[spot > 0], spot[spot < len(merged) - 1]
+                before, after = self.rank(merged[left - 1], merged[left]), self.rank(merged[right], merged[right + 1])
+                if len(at) == 1 or not ((before <= best).any() or (after <= best).any()):
+                    break
+                at = at[:1]
+            ids, ranks = merged, np.delete(ranks, at)
+            ranks[left - 1], ranks[right] = before, after
+        return ids
 
     # encoding of texts
 

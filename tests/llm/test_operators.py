@@ -9,6 +9,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -87,8 +88,11 @@ SHARED = bpe.Codec(bpe.read_ranks(PATH), PATTERN)
 
 def test_long_pieces_and_other_patterns(codec):
     rng = random.Random(0)
-    texts = ["a" * 1000, "".join(rng.choice("abcde") for _ in range(3000)), "é" * 400, "", "=" * 700]
+    texts = ["a" * 1000, "".join(rng.choice("abcde") for _ in range(3000)), "é" * 400, "", "=" * 700, "ab" * 300, "aab" * 200 + "a"]
+    texts += ["".join(rng.choice(some) for _ in range(rng.randrange(129, 400))) for some in ("ab", "aA", "the", "ing", "-=", "0123456789", "éà", "\u4e00\u4e01") for _ in range(12)]
     assert encoded(codec, texts) == [REFERENCE.encode_ordinary(t) for t in texts]
+    began = time.time()
+    assert len(encoded(codec, ["".join(rng.choice("etaoinshrdlu") for _ in range(300_000))])[0]) > 0 and time.time() - began < 60
     other = r"\p{L}+|\P{L}"
     own = bpe.Codec(bpe.read_ranks(PATH), other)
     library = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=RANKS, special_tokens={})
@@ -182,6 +186,12 @@ def test_mix(spark, docs, none, rows):
     assert mixing.mix(none).count() == 0 and mixing.taken(none).count() == 0
 
 
+def test_mix_of_ids_that_are_text(spark):
+    df = spark.createDataFrame([(f"d{i}", f"s{i % 3}", "w " * (i % 50)) for i in range(300)] + [(None, "s1", "x y")], "doc_id string, source string, text string")
+    out = mixing.taken(df).collect()
+    assert len(out) == 301 and {r["doc_id"] for r in out} == {None, *(f"d{i}" for i in range(300))}
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(1)
     size, part = rng.integers(1, 500, 800), rng.random(800)
@@ -444,6 +454,18 @@ def test_license_scan(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_scan_of_long_texts_takes_time_in_proportion(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, "lorem ipsum the mit license of " * (n // 6))], "doc_id long, text string")
+        began = time.time()
+        assert licenses.scan(df).collect()[0]["n_base"] == n // 6
+        return time.time() - began
+
+    seconds(600)
+    few, many = seconds(30_000), seconds(240_000)
+    assert many < 16 * few + 2
+
+
 # 1: shards
 
 
