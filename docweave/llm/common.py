@@ -56,6 +56,29 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Keys that are dealt over tasks are those with more than this part of all rows, and with so many rows at least.
+HOT_PART, HOT_ROWS = 1000, 2000
+
+
+def hot(counts: DataFrame, key: str) -> DataFrame:
+    """The keys of counts (key, n) that no one task should hold, with the number of their deals: fewer than HOT_PART rows, so it is broadcast."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = max(HOT_ROWS, total // HOT_PART)
+    return F.broadcast(counts.where(F.col("n") > most).select(F.col(key).alias("hot_key"), F.ceil(F.col("n") / most).cast("int").alias("deals")))
+
+
+def dealt_out(df: DataFrame, key: str, keys: DataFrame, *by: str) -> DataFrame:
+    """df with the column deal, by which the rows of a hot key differ."""
+    deal = F.pmod(F.xxhash64(*by), F.coalesce("deals", F.lit(1))).cast("int")
+    return df.join(keys, df[key] == keys["hot_key"], "left").withColumn("deal", deal).drop("hot_key", "deals")
+
+
+def copied_out(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """df, a row of which goes to every deal of its key."""
+    deals = F.explode(F.sequence(F.lit(0), F.coalesce("deals", F.lit(1)) - 1))
+    return df.join(keys, df[key] == keys["hot_key"], "left").withColumn("deal", deals).drop("hot_key", "deals")
+
+
 def spare(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that clash with none of df's."""
     taken = {c.lower() for c in df.columns}
