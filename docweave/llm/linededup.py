@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.common import row_key, settle, spare
+from docweave.llm.common import copied_out, dealt_out, hot, row_key, settle, spare
 
 #: Words from which a line is a piece of its own and goes alone.
 LONG_LINE = 40
@@ -66,14 +66,15 @@ def _ranges(keyed: DataFrame, row: str, long_line: int, run_words: int) -> DataF
     found = keyed.where("text is not null").select("doc_id", F.col(row).alias("row"), F.explode_outer(_pieces(lines, long_line)).alias("p")).where("p is not null")
     # start and number of lines in one long, which sorts by start. Few hashes repeat: only their pieces are written, the others are made twice
     narrow = found.select("doc_id", "row", (F.shiftleft(F.col("p.start").cast("long"), 32) + F.col("p.lines")).alias("span"), "p.hash")
-    several = narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    narrow = settle(narrow.join(several, "hash", "left_semi"))
+    several = settle(narrow.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), few=True)
+    frequent = hot(several, "hash")  # their pieces are dealt over tasks, and what they are compared with goes to each
+    narrow = settle(dealt_out(narrow, "hash", frequent, "row", "span").join(copied_out(several.select("hash"), "hash", frequent), ["hash", "deal"], "left_semi"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "span")
     groups = narrow.groupBy("hash").agg(F.min(place).alias("first"))
     groups = settle(groups.select("hash", F.col("first.row").alias("from_row"), F.col("first.span").alias("from_span")))
     # what overlaps its own first occurrence, as in a line said three times over, is no copy
     apart = (F.col("row") != F.col("from_row")) | (F.shiftright("span", 32) >= F.shiftright("from_span", 32) + F.col("from_span").bitwiseAND(2**32 - 1))
-    copies = narrow.join(groups, "hash").where(apart).select("row", "span", "hash", F.lit(True).alias("copy"))
+    copies = narrow.join(copied_out(groups, "hash", frequent), ["hash", "deal"]).where(apart).select("row", "span", "hash", F.lit(True).alias("copy"))
 
     # first occurrences and claimed copies are cut out of the texts together, each text split once. The condition needs all columns of the
     # documents and the pieces, so the texts are dealt by row with all their columns, and the last join of dedup_lines can read the same exchange again
@@ -98,7 +99,8 @@ def _ranges(keyed: DataFrame, row: str, long_line: int, run_words: int) -> DataF
 
     cut = cut.select("piece_row", "piece_list", "text").select(F.col("piece_row").alias("row"), F.inline_outer(_bind(lines, lambda ls: F.transform("piece_list", lambda p: say(ls, p)))))
     originals = cut.where("not copy").groupBy("hash").agg(F.first("said").alias("original"))
-    same = cut.where("copy").join(originals, "hash").where(F.encode("said", "utf-8") == F.encode("original", "utf-8")).select("row", "start", "end", "words", "head").distinct()
+    claimed = dealt_out(cut.where("copy"), "hash", frequent, "row", "start")
+    same = claimed.join(copied_out(originals, "hash", frequent), ["hash", "deal"]).where(F.encode("said", "utf-8") == F.encode("original", "utf-8")).select("row", "start", "end", "words", "head").distinct()
 
     order = Window.partitionBy("row").orderBy("start", "end")  # the pieces of one document
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
