@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("of")).agg((F.min(label) > 0).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64(F.lit(1), "of"), "of").limit(sample)  # a bounded sample, so the join below can be broadcast
-    joined = docs.where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("label", "text", F.xxhash64("of", "text").alias("row"))
+    joined = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("label", "text", F.xxhash64("of", "text").alias("row"))
     rows = settle(joined.orderBy("row").limit(sample).repartition(8, "row"))
     index, shape_index = index_vectors(BUCKETS, 1), index_vectors(SHAPES, 2)
 

@@ -488,9 +488,38 @@ def test_shards_are_near_equal_with_a_hot_text(spark):
     assert len(sums) == 13 and max(sums) < 1.1 * min(sums)
 
 
+def test_copies_share_a_shard_and_axes_tell_long_names_apart(spark, monkeypatch):
+    texts = [f"text {i} " * (i % 9 + 1) for i in range(900)] + ["copied many times"] * 60 + ["another copied text"] * 30
+    rows = [(i, t, f"https://one.example/with/a/long/beginning/{i % 50:03d}", "en") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    size = lambda t: len(t.encode()) + 16
+    for top in (sharding.TOP, 2):
+        monkeypatch.setattr(sharding, "TOP", top)
+        out = {r["doc_id"]: r["shard"] for r in sharding.assign(df, shards=11).collect()}
+        weights, of = collections.Counter(), collections.defaultdict(set)
+        for i, t, *_ in rows:
+            weights[out[i]] += size(t)
+            of[t].add(out[i])
+        assert all(len(shards) == 1 for shards in of.values()) and len(weights) == 11
+        assert max(weights.values()) < 1.15 * min(weights.values()), top
+    # with equal sizes the tree splits along the sources: few of them lie in more than one shard, or two where a median falls inside
+    monkeypatch.setattr(sharding, "TOP", 1024)
+    flat = df.where("doc_id < 900").withColumn("text", F.md5(F.col("doc_id").cast("string")))
+    pairs = {(r["source"], r["shard"]) for r in sharding.shard_documents(flat, shards=8).select("source", "shard").collect()}
+    assert len(pairs) <= 50 + 8
+
+
 # 9: quality
 
 
+def test_quality_of_held_out_labels(spark):
+    """On the table of labels: the ones that are never learned from."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    clash = docs.withColumn("label", F.lit("x")).withColumn("of", F.lit(1))
+    scored = quality.score(clash, quality.fit(clash, labels)).where(quality.held_out(F.col("doc_id"))).join(labels.select("doc_id", "quality"), "doc_id").select("score", "quality").collect()
+    assert len(scored) > 50 and np.mean([(r["score"] >= quality.THRESHOLD) == (r["quality"] == 1) for r in scored]) > 0.9
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = [(i, prose(rng, 40), 1) for i in range(400)]
