@@ -12,14 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docweave.llm.topk import BLOCK, SHARD, _best, dealt, ids_of, matrix, usable
+from docweave.llm.common import settle
+from docweave.llm.topk import BLOCK, SHARD, _best, dealt, ids_of, matrix, sample, usable
 
 #: Pivots are a bounded sample of the vectors, this many at most; the index holds every vector.
 PIVOTS = 256
 #: Nearest pivots that a vector is posted under.
-POSTED = 64
-#: Part of a shard that is reranked for a query, and how many at least.
-RERANK, LEAST = 0.1, 200
+POSTED = 128
+#: Part of a shard that is reranked for a query, of any size.
+RERANK = 0.2
 
 
 def permutations(x: np.ndarray, pivots: np.ndarray, posted: int) -> np.ndarray:
@@ -49,27 +50,20 @@ class InvertedFiles:
         return m * (m + 1) - gain
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, posted: int = POSTED, rerank: float = RERANK, least: int = LEAST, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, posted: int = POSTED, rerank: float = RERANK, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score double): the k found vectors of largest cosine, ties to the smaller id.
 
     vectors, queries: (id, vector). Vectors null, zero or holding null or non-finite components take no part, nor do pairs of different
     dimension; a vector with the query's own id is no candidate. Repeated query ids ask once, with their least vector; repeated
     candidates all count. Per dimension the pivots are those vectors whose hashes are least.
     """
-    spark = vectors.sparkSession
-    clean = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where(usable(F.col("vector")) & F.exists("vector", lambda x: x != 0))
-    asked = clean(queries).where("id is not null").groupBy("id").agg(F.min("vector").alias("vector"))
-    # pivots for each dimension, a bounded sample: a repeated vector would waste a pivot, so each hash counts once
-    hashed = clean(vectors).select(F.size("vector").alias("dim"), F.xxhash64(F.lit(11), "vector").alias("hash"), "vector")
-    distinct = hashed.groupBy("dim", "hash").agg(F.first("vector").alias("vector"))
-    order = Window.partitionBy("dim").orderBy("hash")
-    some = distinct.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= pivots)
-    sampled: dict[int, np.ndarray] = {}
-    for r in some.orderBy("dim", "nth").collect():
-        sampled.setdefault(r["dim"], []).append(r["vector"])
-    sampled = {d: np.array(v) for d, v in sampled.items()}
-    sent = spark.sparkContext.broadcast({d: _unit(v) for d, v in sampled.items()})  # `pivots` rows for each dimension
-    held, asking = dealt(clean(vectors), asked, shard, block)
+    context = vectors.sparkSession.sparkContext
+    clean = lambda df: df.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where(usable(F.col("vector")) & F.exists("vector", lambda x: x != 0)).withColumn("dim", F.size("vector"))
+    held = settle(clean(vectors))
+    asked = settle(clean(queries).where("id is not null").groupBy("id").agg(F.min(F.struct("vector", "dim")).alias("own")).select("id", "own.vector", "own.dim"))
+    # a repeated vector would waste a pivot, so each counts once
+    sent = context.broadcast({d: _unit(v) for d, v in sample(held, pivots, 11).items()})  # MOST_SENT components at most
+    held, asking = dealt(held, asked, shard, block)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         ids, none = ids_of(left)
@@ -81,7 +75,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS
             of = sent.value[x.shape[1]]
             m = min(posted, len(of))
             files = InvertedFiles(permutations(unit, of, m), len(of))
-            near = min(len(ids), max(least, int(np.ceil(rerank * len(ids)))) + 1)
+            near = min(len(ids), max(k, int(np.ceil(rerank * len(ids)))) + 1)  # one of them may be the query itself
             for i, order_i in enumerate(permutations(asked_unit, of, m)):
                 distance = files.footrule(order_i)
                 picked = np.argpartition(distance, near - 1)[:near] if near < len(ids) else np.arange(len(ids))
