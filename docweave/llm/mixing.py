@@ -20,6 +20,8 @@ from docweave.llm.common import settle, small, spare
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that one flight takes; the number of blocks grows with the table instead.
 BLOCK = 4096
+#: Times that landing turns over two settled rows at most.
+TURNS = 8
 FIELDS = "row {}, block_of long, source string, size long, whole int, part double, copies int"
 
 
@@ -81,27 +83,31 @@ def flight(size: np.ndarray, part: np.ndarray, rng: np.random.Generator, land: b
 
 
 def _land(size: list[float], part: list[float], held: list[int]) -> None:
-    """Settle the held rows, two at most, then turn over up to two settled rows if that brings the words still nearer to what was meant."""
+    """Settle the held rows, two at most, then turn over settled rows, two at a time, while that brings the words still nearer to what was meant."""
     picks = [[float(pick >> k & 1) for k in range(len(held))] for pick in range(1 << len(held))]
     off_by = [sum((g - part[i]) * size[i] for g, i in zip(got, held, strict=True)) for got in picks]
     best = min(range(len(picks)), key=lambda k: (abs(off_by[k]), abs(sum(picks[k]))))
     for g, i in zip(picks[best], held, strict=True):
         part[i] = g
     off = off_by[best]
-    # a turn adds or takes the row's words; entry 0 stands for no turn
-    turns = np.array([0.0] + [-s if p else s for s, p in zip(size, part, strict=True)])
-    order = np.argsort(turns, kind="stable")
-    ranked = turns[order]
-    near = np.searchsorted(ranked, -off - turns)
-    found = (abs(off), 0, 0)
-    for shift in (-1, 0):
-        other = order[np.clip(near + shift, 0, len(order) - 1)]
-        left = np.where((other == np.arange(len(turns))) & (other > 0), np.inf, np.abs(off + turns + turns[other]))
-        k = int(left.argmin())
-        found = min(found, (float(left[k]), k, int(other[k])))
-    for k in found[1:]:
-        if k:
-            part[k - 1] = 1.0 - part[k - 1]
+    for _ in range(TURNS):
+        # a turn adds or takes the row's words; entry 0 stands for no turn
+        turns = np.array([0.0] + [-s if p else s for s, p in zip(size, part, strict=True)])
+        order = np.argsort(turns, kind="stable")
+        ranked = turns[order]
+        near = np.searchsorted(ranked, -off - turns)
+        found = (abs(off), 0, 0)
+        for shift in (-1, 0):
+            other = order[np.clip(near + shift, 0, len(order) - 1)]
+            left = np.where((other == np.arange(len(turns))) & (other > 0), np.inf, np.abs(off + turns + turns[other]))
+            k = int(left.argmin())
+            found = min(found, (float(left[k]), k, int(other[k])))
+        if not any(found[1:]):
+            break
+        for k in found[1:]:
+            if k:
+                part[k - 1] = 1.0 - part[k - 1]
+                off += turns[k]
 
 
 def _fly(land: bool):
