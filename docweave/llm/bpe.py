@@ -318,13 +318,18 @@ class Codec:
         Pre-tokens are remembered by 64-bit hashes; should two ever share one, the ids do not give the bytes back, and the batch is encoded afresh.
         """
         starts, ends = self.splitter(data, at)
+        ids, counts = self.pieces_of(data, starts, ends)
+        total = np.concatenate([[0], np.cumsum(counts)])
+        return ids, total[np.searchsorted(starts, at)]
+
+    def pieces_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens that follow one another, and how many each has."""
         codes = self.codes_of(data, starts, ends)
         counts = self.piece_length[codes]
         ids = ragged(self.piece_ids, self.piece_start[codes], counts)
-        if not np.array_equal(self.decode(ids), data):
+        if len(starts) and not np.array_equal(self.decode(ids), data[starts[0] : ends[-1]]):
             ids, counts = self._afresh(data, starts, ends)
-        total = np.concatenate([[0], np.cumsum(counts)])
-        return ids, total[np.searchsorted(starts, at)]
+        return ids, counts
 
     def _afresh(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         made = []
