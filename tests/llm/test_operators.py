@@ -143,6 +143,31 @@ def test_random_edits_of_one_tree(codec):
     assert b"".join(tree.leaves).decode() == text and again < 150 * 200
 
 
+def test_kept_trees_take_later_edits(spark, docs, tmp_path):
+    edit = lambda *e: F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(d).cast("long").alias("delete"), F.lit(i).alias("insert")) for a, d, i in e])
+    token_counts.grow(docs, PATH, PATTERN).write.parquet(f"{tmp_path}/one")
+    first = spark.read.parquet(f"{tmp_path}/one").withColumn("edits", edit((5, 2, "'ve"), (0, 0, " ")))
+    token_counts.amend(first, PATH, PATTERN).write.parquet(f"{tmp_path}/two")
+    second = spark.read.parquet(f"{tmp_path}/two").withColumn("edits", edit((10**6, 0, "!end"), (1, 3, "")))
+    for r in token_counts.amend(second, PATH, PATTERN).collect():
+        t = r["text"] or ""
+        t = " " + t[:5] + "'ve" + t[7:]
+        t += "!end"
+        t = t[:1] + t[4:]
+        assert r["n_tokens"] == len(REFERENCE.encode_ordinary(t)) and "".join(r["token_tree"]["leaves"]) == t
+        assert r["recounted"] < 40 or r["recounted"] <= len(t)
+
+
+def test_clashing_hashes_give_the_bytes_back(codec):
+    own = bpe.Codec(bpe.read_ranks(PATH), PATTERN)
+    own.hasher.spans = lambda data, starts, ends: np.full(len(starts), 5, np.uint64)
+    own.codes, own.pieces = bpe.HashTable(np.zeros(0, np.uint64), np.zeros(0, np.int32)), 0
+    texts = ["stone river", "zz yy"]
+    assert encoded(own, texts) == [REFERENCE.encode_ordinary(t) for t in texts]
+    (tree,) = token_counts.trees(own, *utf8(pa.array(["stone river zz"])))
+    assert tree.total == len(REFERENCE.encode_ordinary("stone river zz"))
+
+
 # 3: mixing
 
 
@@ -567,3 +592,75 @@ def test_word_hashes_agree_with_words():
     found = [data[a:b].decode() for a, b in zip(starts, ends)]
     assert [re.sub("[A-Z]", lambda m: m[0].lower(), f) for f in found] == [w for t in texts for w in words(t)]
     assert len(set(hashes.tolist())) == len({re.sub("[A-Z]", lambda m: m[0].lower(), f) for f in found}) and row.tolist() == [0, 0, 0, 0, 2, 2, 3]
+
+
+# the pipeline
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
+    """Every stage on what the stage before kept, the rules that have one answer by hand, the others by their laws."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, kept = docs.columns, {}
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "mix", "encode"]
+    before = {r["doc_id"]: r for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = docs.collect()
+        if name != "encode":
+            assert docs.columns == columns and docs.schema["doc_id"] == spark.read.parquet(f"{sf}/documents.parquet").schema["doc_id"]
+    # quality: rows go or stay as they are, and the labels say why
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert all(r == before[r["doc_id"]] for r in kept["quality"])
+    stayed = {r["doc_id"] for r in kept["quality"]}
+    assert np.mean([(i in stayed) == (q == 1) for i, q in labels.items() if i in before]) > 0.9
+    # lines: a text loses whole lines only, and each of them stays somewhere
+    was = {r["doc_id"]: r["text"] or "" for r in kept["quality"]}
+    left = {line for r in kept["line_dedup"] for line in (r["text"] or "").split("\n")}
+    assert sorted(was) == sorted(r["doc_id"] for r in kept["line_dedup"])
+    for r in kept["line_dedup"]:
+        own = iter(was[r["doc_id"]].split("\n"))
+        assert r["n_chars"] == len(r["text"] or "")
+        if r["text"]:
+            assert all(line in own for line in r["text"].split("\n"))  # in order
+        assert set(was[r["doc_id"]].split("\n")) <= left | {""}
+    # near copies: one of each class by brute force, the smallest id
+    lines = [(r["doc_id"], r["text"]) for r in kept["line_dedup"]]
+    firsts = {c if words(t) else i for (i, t), c in zip(lines, jaccard_classes(lines))}
+    assert sorted(r["doc_id"] for r in kept["near_dedup"]) == sorted(firsts)
+    # the mix: words near the targets
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+    sizes = collections.Counter()
+    for r in kept["near_dedup"]:
+        sizes[r["source"]] += size(r)
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    goals = {r["source"]: r["target"] for r in mixing.targets(frame).collect()}
+    taken, times = collections.Counter(), collections.Counter(r["doc_id"] for r in kept["mix"])
+    for r in kept["mix"]:
+        taken[r["source"]] += size(r)
+    assert set(times) <= firsts and max(times.values()) <= 3
+    assert all(abs(taken[s] - g) <= 0.15 * g for s, g in goals.items())  # sources of some ten documents
+    assert abs(sum(taken.values()) - sum(goals.values())) <= 0.02 * sum(goals.values())
+    # ids
+    assert sorted(r["doc_id"] for r in kept["encode"]) == sorted(times.elements())
+    of = {r["doc_id"]: r["text"] or "" for r in kept["mix"]}
+    for r in kept["encode"]:
+        assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, REFERENCE.encode_ordinary(of[r["doc_id"]]))).encode()).hexdigest()
+
+
+def test_pipeline_of_odd_rows(spark, rows, tmp_path):
+    """Nulls, empty texts, repeated rows and an empty table pass through all stages."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    fields = "doc_id long, text string, lang string, source string, n_chars long"
+    for k, some in enumerate((rows, [])):
+        docs = spark.createDataFrame([r[:5] for r in some], fields)
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{k}-{name}")
+        assert (docs.count() > 0) == bool(some)
