@@ -10,10 +10,10 @@ from docweave import Database
 from docweave.errors import InvalidArgument, InvalidStructure, UnsupportedOperator
 
 ROWS = [
-    {"k": 1, "qty": 7, "sku": "abc", "tags": [1, 5, 9], "meta": {"on": True, "n": 2}, "items": [{"a": 1, "b": "x"}, {"a": 5, "b": "y"}], "bin": b"\x05"},
-    {"k": 2, "qty": -8, "sku": "Abd", "tags": [], "meta": {"on": False}, "items": [{"a": 5, "b": "x"}], "bin": b"\x00"},
-    {"k": 3, "sku": "zz", "tags": [2, 2], "nested": [[1, 2], [3]]},
-    {"k": 4, "qty": 0},
+    {"k": 1, "grams": 7, "mark": "oak", "tags": [1, 5, 9], "state": {"on": True, "n": 2}, "items": [{"a": 1, "b": "x"}, {"a": 5, "b": "y"}], "bin": b"\x05"},
+    {"k": 2, "grams": -8, "mark": "Oar", "tags": [], "state": {"on": False}, "items": [{"a": 5, "b": "x"}], "bin": b"\x00"},
+    {"k": 3, "mark": "zz", "tags": [2, 2], "nested": [[1, 2], [3]]},
+    {"k": 4, "grams": 0},
 ]
 
 
@@ -27,11 +27,11 @@ def collection(spark):
 @pytest.mark.parametrize(
     ("spec", "keys"),
     [
-        ({"qty": 7}, [1]), ({"qty": {"$ne": 7}}, [2, 3, 4]), ({"qty": {"$lt": 5}}, [2, 4]), ({"qty": {"$gte": 0.0}}, [1, 4]), ({"qty": None}, []), ({"qty": {"$in": [7, 0, None]}}, [1, 4]), ({"qty": {"$nin": [7]}}, [2, 3, 4]),
-        ({"meta.on": True}, [1]), ({"meta.n": {"$exists": False}}, [2, 3, 4]), ({"tags": 5}, [1]), ({"tags": {"$gt": 6}}, [1]), ({"tags": [2, 2]}, [3]), ({"tags": {"$size": 0}}, [2]), ({"tags": {"$all": [1, 9]}}, [1]), ({"tags": {"$all": []}}, []),
-        ({"items.a": 5}, [1, 2]), ({"items": {"$elemMatch": {"a": 5, "b": "x"}}}, [2]), ({"tags": {"$elemMatch": {"$gt": 1, "$lt": 6}}}, [1, 3]), ({"nested": 3}, [3]), ({"sku": {"$regex": "^ab", "$options": "i"}}, [1, 2]), ({"sku": re.compile("B", re.I)}, [1, 2]), ({"sku": {"$not": re.compile("z")}}, [1, 2, 4]),
-        ({"qty": {"$mod": [4, 3]}}, [1]), ({"qty": {"$mod": [4, 0]}}, [2, 4]), ({"qty": {"$bitsAllSet": [0, 1, 2]}}, [1]), ({"qty": {"$bitsAnySet": [60]}}, [2]), ({"qty": {"$bitsAllClear": 7}}, [2, 4]), ({"bin": {"$bitsAllSet": [0, 2]}}, [1]), ({"sku": {"$gt": 5}}, [1, 2, 3]), ({"qty": {"$type": "number"}}, [1, 2, 4]), ({"tags": {"$type": "int"}}, [1, 3]), ({"tags": {"$type": "array"}}, [1, 2, 3]),
-        ({"$or": []}, []), ({"$and": []}, [1, 2, 3, 4]), ({"$nor": [{"qty": 7}, {"k": 2}]}, [3, 4]), ({"$expr": {"$gt": [{"$divide": [56, "$qty"]}, 7]}}, [1]), ({"$expr": {"$eq": ["$qty", None]}}, [3]), ({"$alwaysFalse": 1}, []), ({"$sampleRate": 0}, []), ({"$comment": "x", "k": 1}, [1]), ({"qty": {"$not": {"$gt": 0}}}, [2, 3, 4]),
+        ({"grams": 7}, [1]), ({"grams": {"$ne": 7}}, [2, 3, 4]), ({"grams": {"$lt": 5}}, [2, 4]), ({"grams": {"$gte": 0.0}}, [1, 4]), ({"grams": None}, []), ({"grams": {"$in": [7, 0, None]}}, [1, 4]), ({"grams": {"$nin": [7]}}, [2, 3, 4]),
+        ({"state.on": True}, [1]), ({"state.n": {"$exists": False}}, [2, 3, 4]), ({"tags": 5}, [1]), ({"tags": {"$gt": 6}}, [1]), ({"tags": [2, 2]}, [3]), ({"tags": {"$size": 0}}, [2]), ({"tags": {"$all": [1, 9]}}, [1]), ({"tags": {"$all": []}}, []),
+        ({"items.a": 5}, [1, 2]), ({"items": {"$elemMatch": {"a": 5, "b": "x"}}}, [2]), ({"tags": {"$elemMatch": {"$gt": 1, "$lt": 6}}}, [1, 3]), ({"nested": 3}, [3]), ({"mark": {"$regex": "^oa", "$options": "i"}}, [1, 2]), ({"mark": re.compile("A", re.I)}, [1, 2]), ({"mark": {"$not": re.compile("z")}}, [1, 2, 4]),
+        ({"grams": {"$mod": [4, 3]}}, [1]), ({"grams": {"$mod": [4, 0]}}, [2, 4]), ({"grams": {"$bitsAllSet": [0, 1, 2]}}, [1]), ({"grams": {"$bitsAnySet": [60]}}, [2]), ({"grams": {"$bitsAllClear": 7}}, [2, 4]), ({"bin": {"$bitsAllSet": [0, 2]}}, [1]), ({"mark": {"$gt": 5}}, [1, 2, 3]), ({"grams": {"$type": "number"}}, [1, 2, 4]), ({"tags": {"$type": "int"}}, [1, 3]), ({"tags": {"$type": "array"}}, [1, 2, 3]),
+        ({"$or": []}, []), ({"$and": []}, [1, 2, 3, 4]), ({"$nor": [{"grams": 7}, {"k": 2}]}, [3, 4]), ({"$expr": {"$gt": [{"$divide": [56, "$grams"]}, 7]}}, [1]), ({"$expr": {"$eq": ["$grams", None]}}, [3]), ({"$alwaysFalse": 1}, []), ({"$sampleRate": 0}, []), ({"$comment": "x", "k": 1}, [1]), ({"grams": {"$not": {"$gt": 0}}}, [2, 3, 4]),
     ],
 )
 def test_matches(collection, spec, keys):

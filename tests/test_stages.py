@@ -31,18 +31,18 @@ def by(rows, *keys):
     return sorted(rows, key=lambda r: tuple(str(r.get(k)) for k in keys))
 
 
-TEAM = [{"_id": i, "team": t, "sku": s, "qty": q} for i, (t, s, q) in enumerate([("a", "x", 1), ("a", "y", 2), ("b", "x", 5), ("a", "x", 4)])]
+CATCH = [{"_id": i, "boat": b, "fish": f, "kilos": k} for i, (b, f, k) in enumerate([("Heron", "cod", 1), ("Heron", "eel", 2), ("Tern", "cod", 5), ("Heron", "cod", 4)])]
 
 
 def test_group_keeps_input_order(run):
-    out = run(TEAM, [{"$group": {"_id": "$team", "total": {"$sum": "$qty"}, "mean": {"$avg": "$qty"}, "first": {"$first": "$sku"}, "all": {"$push": "$sku"}, "set": {"$addToSet": "$sku"}}}])
-    assert by(out, "_id") == [{"_id": "a", "total": 7, "mean": 7 / 3, "first": "x", "all": ["x", "y", "x"], "set": ["x", "y"]}, {"_id": "b", "total": 5, "mean": 5.0, "first": "x", "all": ["x"], "set": ["x"]}]
-    assert run(TEAM, [{"$match": {"team": "zz"}}, {"$group": {"_id": None, "n": {"$sum": 1}}}]) == []
-    assert run(TEAM, [{"$sort": {"qty": -1}}, {"$group": {"_id": None, "all": {"$push": "$qty"}}}, {"$project": {"_id": 0}}]) == [{"all": [5, 4, 2, 1]}]
+    out = run(CATCH, [{"$group": {"_id": "$boat", "kilos": {"$sum": "$kilos"}, "mean": {"$avg": "$kilos"}, "opening": {"$first": "$fish"}, "log": {"$push": "$fish"}, "kinds": {"$addToSet": "$fish"}}}])
+    assert by(out, "_id") == [{"_id": "Heron", "kilos": 7, "mean": 7 / 3, "opening": "cod", "log": ["cod", "eel", "cod"], "kinds": ["cod", "eel"]}, {"_id": "Tern", "kilos": 5, "mean": 5.0, "opening": "cod", "log": ["cod"], "kinds": ["cod"]}]
+    assert run(CATCH, [{"$match": {"boat": "Gull"}}, {"$group": {"_id": None, "n": {"$sum": 1}}}]) == []
+    assert run(CATCH, [{"$sort": {"kilos": -1}}, {"$group": {"_id": None, "all": {"$push": "$kilos"}}}, {"$project": {"_id": 0}}]) == [{"all": [5, 4, 2, 1]}]
 
 
 def test_group_order_counts_for_limits(run):
-    assert run(TEAM, [{"$group": {"_id": "$qty"}}, {"$limit": 2}]) == [{"_id": 1}, {"_id": 2}]
+    assert run(CATCH, [{"$group": {"_id": "$kilos"}}, {"$limit": 2}]) == [{"_id": 1}, {"_id": 2}]
 
 
 def test_sort_is_stable_and_nulls_are_low(run):
@@ -122,8 +122,8 @@ def test_densify_and_fill(run):
 
 
 def test_facet_and_union(run):
-    out = run(TEAM, [{"$facet": {"n": [{"$count": "n"}], "x": [{"$match": {"sku": "y"}}, {"$project": {"qty": 1, "_id": 0}}]}}])
-    assert out == [{"n": [{"n": 4}], "x": [{"qty": 2}]}]
+    out = run(CATCH, [{"$facet": {"n": [{"$count": "n"}], "x": [{"$match": {"fish": "eel"}}, {"$project": {"kilos": 1, "_id": 0}}]}}])
+    assert out == [{"n": [{"n": 4}], "x": [{"kilos": 2}]}]
     assert by(run([{"_id": 1}], [{"$unionWith": {"coll": "o", "pipeline": [{"$match": {"_id": {"$gt": 1}}}]}}], o=[{"_id": 1}, {"_id": 2, "z": 5}]), "_id") == [{"_id": 1}, {"_id": 2, "z": 5}]
 
 
