@@ -49,12 +49,17 @@ def sample(vectors: DataFrame, most: int, seed: int, least: int = 0) -> dict[int
     Should dimensions be so many that the samples have over MOST_SENT components, each gets fewer, one at least.
     """
     hashed = vectors.select("dim", F.xxhash64(F.lit(seed), "vector").alias("hash"), "vector")
-    dims = {r["dim"]: r["n"] for r in hashed.groupBy("dim").agg(F.count("*").alias("n")).where(F.col("n") > least).collect()}  # a row for each length of vectors
+    counts = hashed.groupBy("dim").agg(F.count("*").alias("n"), F.approx_count_distinct("hash").alias("distinct"))
+    dims = {r["dim"]: r["distinct"] for r in counts.where(F.col("n") > least).collect()}  # a row for each length of vectors
+    if not dims:
+        return {}
     most = max(1, min(most, MOST_SENT // max(1, sum(dims))))
-    distinct = hashed.where(F.col("dim").isin(list(dims))).groupBy("dim", "hash").agg(F.first("vector").alias("vector"))
+    # hashes are even, so some eight times as many as are wanted lie below these ends; only they are ranked
+    ends = {d: min(2**63 - 1, -(2**63) + int(2**64 * min(1.0, 8 * most / max(1, n)))) for d, n in dims.items()}
+    low = hashed.where(F.col("dim").isin(list(dims))).where(F.col("hash") <= F.element_at(F.create_map(*[F.lit(x) for d in ends.items() for x in d]), F.col("dim")))
     order = Window.partitionBy("dim").orderBy("hash")
     found: dict[int, list] = {}
-    for r in distinct.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).orderBy("dim", "nth").collect():
+    for r in low.groupBy("dim", "hash").agg(F.first("vector").alias("vector")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).orderBy("dim", "nth").collect():
         found.setdefault(r["dim"], []).append(r["vector"])
     return {d: np.array(v, float) for d, v in found.items()}
 
