@@ -280,8 +280,11 @@ _DIRECTIVES = {
 _DEFAULTS = ("%Y-%m-%dT%H:%M:%S.%L%z", "%Y-%m-%dT%H:%M:%S%z")
 
 
-def _read(text: Column, format_: str) -> tuple[Column, Column | None]:
-    """Local time that a text gives by a format (NULL where it does not fit), and its offset in seconds if the format has one."""
+def _read(text: Column, format_: str) -> tuple[Column, bool]:
+    """The time that a text gives by a format (NULL where it does not fit), and whether it is an instant, as the format has an offset, or a local time.
+
+    Text and pattern are evaluated once: the parts are bound as an array.
+    """
     rule, groups, i = "", [], 0
     while i < len(format_):
         c = format_[i]
@@ -300,11 +303,17 @@ def _read(text: Column, format_: str) -> tuple[Column, Column | None]:
             groups.append(_DIRECTIVES[d][1])
         else:
             raise InvalidArgument(f"unknown directive %{d}")
-    rule = f"^{rule}$"
-    part = lambda k: F.regexp_extract(text, rule, groups.index(k) + 1) if k in groups else None
-    fits = F.regexp_like(text, F.lit(rule))
-    number = lambda k, default: F.when(fits, part(k)).try_cast("int") if k in groups else F.lit(default)
-    within = lambda k, low, high: F.when((number(k, 0) >= low) & (number(k, 0) <= high), number(k, 0)) if k in groups else F.lit(low)
+    rule = rf"^{rule}\z"
+    # no part holds a comma
+    found = lambda t: F.when(F.regexp_like(t, F.lit(rule)), F.split(F.regexp_replace(t, F.lit(rule), F.lit(",".join(f"${k + 1}" for k in range(len(groups))))), ","))
+    return bind(text, lambda t: bind(found(t), lambda p: _assembled(p, groups))), "offset" in groups
+
+
+def _assembled(p: Column, groups: list[str]) -> Column:
+    """The time that parts give, NULL where p is."""
+    part = lambda k: p[groups.index(k)]
+    number = lambda k, default: part(k).try_cast("int") if k in groups else F.lit(default)
+    within = lambda k, low, high: F.when(number(k, 0).between(low, high), number(k, 0)) if k in groups else F.lit(low)
     if "isoWeekYear" in groups:
         monday = F.date_trunc("WEEK", F.make_date(number("isoWeekYear", 1), F.lit(1), F.lit(4)).cast("timestamp")).cast("date")
         day = F.date_add(monday, (within("isoWeek", 1, 53) - 1) * 7 + within("isoDayOfWeek", 1, 7) - 1)
@@ -316,12 +325,11 @@ def _read(text: Column, format_: str) -> tuple[Column, Column | None]:
             month = F.array_position(F.array(*[F.lit(m[:3].lower()) for m in _NAMES]), F.lower(F.substring(part("monthName"), 1, 3))).cast("int")
         day = F.to_date(F.try_make_timestamp(number("year", 1970), month, number("day", 1), F.lit(0), F.lit(0), F.lit(0)))
     millis = ((within("hour", 0, 23) * 60 + within("minute", 0, 59)) * 60 + within("second", 0, 59)).cast("long") * 1000 + number("millisecond", 0)
-    local = F.when(fits, F.timestamp_millis(F.unix_millis(day.cast("timestamp")) + millis))
-    if "offset" not in groups:
-        return local, None
-    o = F.regexp_replace(part("offset"), ":", "")
-    seconds = (F.substring(o, 2, 2).try_cast("int") * 60 + F.substring(o, 4, 2).try_cast("int")) * 60 * F.when(o.startswith("-"), -1).otherwise(1)
-    return local, seconds
+    if "offset" in groups:
+        o = F.regexp_replace(part("offset"), ":", "")
+        seconds = (F.substring(o, 2, 2).try_cast("int") * 60 + F.substring(o, 4, 2).try_cast("int")) * 60 * F.when(o.startswith("-"), -1).otherwise(1)
+        millis = millis - seconds.cast("long") * 1000
+    return F.when(p.isNotNull(), F.timestamp_millis(F.unix_millis(day.cast("timestamp")) + millis))
 
 
 def rfc3339(text: Column) -> Column:
@@ -331,6 +339,14 @@ def rfc3339(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(m)), F.try_to_timestamp(F.concat(part(1), F.lit("T"), part(2), F.substring(F.concat(part(3), F.when(part(3) == "", ".").otherwise(""), F.lit("000")), 1, 4), F.upper(part(4))), F.lit("yyyy-MM-dd'T'HH:mm:ss.SSSXXX")))
 
 
+def _given(scope: Scope, text: Column, made: Column) -> Column:
+    """made, an error where a text gives no date; read once where errors are raised at once."""
+    message = "$dateFromString: the text is no date"
+    if scope.errors is not None:
+        return guard(scope, text.isNotNull() & made.isNull(), message, made)
+    return F.coalesce(made, F.when(text.isNotNull(), F.raise_error(F.lit(message))).cast("timestamp"))
+
+
 @operator("$dateFromString")
 def _from_string(name: str, e: Any, scope: Scope) -> Val:
     options(name, e, ("dateString", "format", "timezone", "onError", "onNull"), ("dateString",))
@@ -354,10 +370,10 @@ def _from_string(name: str, e: Any, scope: Scope) -> Val:
         rule = compile_expression(e["format"], scope)
         if not rule.literal or not isinstance(rule.const, str):
             raise InvalidArgument("$dateFromString: format must be a constant")
-        local, offset = _read(text, rule.const)
-        if offset is not None and "timezone" in e:
+        read, zoned = _read(text, rule.const)
+        if zoned and "timezone" in e:
             raise InvalidArgument("$dateFromString: both the format and the call name a time zone")
-        made = F.timestamp_millis(F.unix_millis(local) - offset.cast("long") * 1000) if offset is not None else place.instant(name, local, scope)
+        made = read if zoned else place.instant(name, read, scope)
     else:
         zoned = rfc3339(text)
         if "timezone" in e:
@@ -369,7 +385,7 @@ def _from_string(name: str, e: Any, scope: Scope) -> Val:
     if "onError" in other:
         made = F.coalesce(made, other["onError"].col.cast("timestamp"))
     else:
-        made = guard(scope, text.isNotNull() & made.isNull(), "$dateFromString: the text is no date", made)
+        made = _given(scope, text, made)
     return Val(F.when(text.isNull(), on_null).otherwise(made), DATE)
 
 
