@@ -12,7 +12,7 @@ from docweave.operators.grouping import ACCUMULATORS
 from docweave.operators.sinks import MergeError
 from docweave.operators.windows import WINDOW_FUNCTIONS
 from docweave.plans.filter import FILTER_OPERATORS
-from docweave.sources.database import DuplicateKey
+from docweave.sources.database import DuplicateKey, FailPointEnabled
 
 
 def test_registry_is_complete():
@@ -108,3 +108,56 @@ def test_dynamic_documents(spark, tmp_path):
     kinds = sorted(r["t"] for r in c.aggregate([{"$project": {"t": {"$type": "$doc.a"}}}]).collect())
     assert kinds == ["long", "null", "string"]
     assert c.count({"doc.a": 1}) == 1 and c.count({"doc.b.c": "x"}) == 1 and c.count({"doc.b.c": {"$exists": False}}) == 2
+
+
+def test_inserts_are_deltas(db):
+    c, store = db["c"], db.store
+    store.fold = 2
+    c.insert([{"_id": 0, "n": 0, "x": 0.5}])
+    for i in range(1, 8):
+        c.insert([{"_id": i, "n": i}])
+    assert store.versions("c") == [1] and [d[:2] for d in store.deltas("c", 1)] == [(1, 4), (5, 6), (7, 7)]
+    assert [(r["_id"], r["n"]) for r in c.df.orderBy("_id").collect()] == [(i, i) for i in range(8)]
+    assert store.size("c") > 0
+    for twice in ([{"_id": 6}], [{"_id": 90}, {"_id": 90}]):
+        with pytest.raises(DuplicateKey):
+            c.insert(twice)
+    c.create_index({"n": 1}, unique=True)
+    with pytest.raises(DuplicateKey):
+        c.insert([{"_id": 40, "n": 7}])
+    c.insert([{"_id": 40, "x": 1}])  # a narrower number fits
+    with pytest.raises(DuplicateKey):
+        c.insert([{"_id": 41, "x": 1.0}])  # a second document without the key
+    c.insert([{"_id": 41, "n": 41, "y": "new"}])  # a field of its own: the next version
+    assert store.versions("c") == [1, 2] and store.deltas("c", 2) == [] and c.count() == 10
+    assert c.delete({"_id": {"$lt": 8}}) == 8 and c.count() == 2
+    c.insert([{"_id": 42, "n": 42}])
+    assert store.versions("c") == [2, 3] and {r["_id"] for r in c.df.collect()} == {40, 41, 42}
+    assert not [n for n in store._names(f"{store.folder}/c") if n.startswith("v1")]
+
+
+def test_delta_that_was_not_completed(db):
+    c, store = db["c"], db.store
+    c.insert([{"_id": 1}, {"_id": 2, "n": 1}])
+    c.insert([{"_id": 3, "n": 1}])
+    store.remove("c/v1d1-1/_SUCCESS")  # as a lost driver leaves it
+    assert c.count() == 2
+    c.insert([{"_id": 4, "n": 1}])
+    assert {r["_id"] for r in c.df.collect()} == {1, 2, 4}
+
+
+def test_parameters_and_fail_points(db):
+    assert db.get_parameter() == {"authenticationMechanisms": [], "requireApiVersion": False, "ok": 1.0}
+    assert db.get_parameter(1, requireApiVersion=1, other=1) == {"requireApiVersion": False, "ok": 1.0} and db.get_parameter(2) == {"ok": 1.0}
+    assert db.kill_all_sessions([]) == {"ok": 1.0}
+    db.configure_fail_point("failCommand", {"times": 1}, {"failCommands": ["Count"], "errorCode": 91, "errorLabels": ["again"]})
+    assert db["c"].find().count() == 0
+    with pytest.raises(FailPointEnabled) as failed:
+        db["c"].count()
+    assert failed.value.code == 91 and failed.value.labels == ["again"] and db["c"].count() == 0
+    db.configure_fail_point("failCommand", "alwaysOn", {"failCommands": ["find"]})
+    assert db["c"].find().count() == 0  # no error is named
+    db.configure_fail_point("failCommand", "off")
+    for point, mode, data in (("other", "off", None), ("failCommand", "on", {}), ("failCommand", "alwaysOn", {}), ("failCommand", "alwaysOn", {"failCommands": ["find"], "errorCode": "x"})):
+        with pytest.raises(InvalidArgument):
+            db.configure_fail_point(point, mode, data)
