@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.sources.database import Database
-from docweave.sources.tables import read_tables
+from docweave.errors import QueryError
+from docweave.operators.sinks import MergeError
+from docweave.plans.frame import shared_folder
+from docweave.sources.database import Database, DuplicateKey, FailPointEnabled
+from docweave.sources.tables import read_json, read_tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -72,8 +76,8 @@ for _name, _match, _sql in (
     ("filter_mod", {"o_orderkey": {"$mod": [7, 3]}}, "o_orderkey % 7 = 3"),
     ("filter_bits", {"o_orderkey": {"$bitsAllSet": 3, "$bitsAnyClear": [2, 3]}, "o_custkey": {"$bitsAllClear": [0], "$bitsAnySet": 6}},
      "(o_orderkey & 3) = 3 AND (o_orderkey & 12) <> 12 AND (o_custkey & 1) = 0 AND (o_custkey & 6) <> 0"),
-    ("filter_exists_type", {"o_totalprice": {"$exists": True, "$type": "double"}, "absent": {"$exists": False}, "o_orderkey": {"$type": ["long", 16]}, "o_orderstatus": {"$type": 2}}, "o_totalprice IS NOT NULL"),
-    ("filter_no_type_bracketing", {"o_orderstatus": {"$gt": 5}, "o_orderdate": {"$gt": "zzz"}, "o_orderkey": {"$lt": "a"}}, "true"),
+    ("filter_exists_type", {"o_totalprice": {"$exists": True, "$type": "double"}, "absent": {"$exists": False}, "o_orderkey": {"$type": ["long", 16]}, "o_orderstatus": {"$type": 2}, "$or": [{"o_custkey": {"$type": "string"}}, {"o_orderkey": {"$type": "number", "$mod": [3, 1]}}]}, "o_totalprice IS NOT NULL AND o_orderkey % 3 = 1"),
+    ("filter_no_type_bracketing", {"o_orderstatus": {"$gt": 5}, "o_orderdate": {"$gt": "zzz"}, "o_orderkey": {"$lt": "a"}, "$or": [{"o_totalprice": {"$gt": "a"}}, {"o_totalprice": {"$gt": 100000}}]}, "o_totalprice > 100000"),
     ("filter_expr", {"$expr": {"$and": [{"$gt": ["$o_totalprice", {"$multiply": ["$o_custkey", 100]}]}, {"$ne": ["$o_orderstatus", "P"]}]}, "$comment": "over a hundred a customer number"}, "o_totalprice > o_custkey * 100.0 AND o_orderstatus <> 'P'"),
     ("filter_expr_errors", {"$expr": {"$gt": [{"$divide": [100, {"$subtract": ["$o_custkey", 10]}]}, 2]}}, "o_custkey <> 10 AND 100.0 / nullif(o_custkey - 10, 0) > 2"),
     ("filter_always", {"$alwaysTrue": 1, "$or": [{"$alwaysFalse": 1}, {"o_orderkey": {"$lte": 100}}]}, "o_orderkey <= 100"),
@@ -195,7 +199,7 @@ pipeline(
     [{"$match": {"o_totalprice": {"$gt": 100000}}}, {"$lookup": {"from": "customer", "localField": "o_custkey", "foreignField": "c_custkey", "as": "c"}}, {"$unwind": "$c"}, {"$group": {"_id": "$c.c_mktsegment", "n": {"$sum": 1}, "total": {"$sum": "$o_totalprice"}}}, {"$set": {"total": {"$round": ["$total", 2]}}}],
     "SELECT c_mktsegment AS _id, count(*)::BIGINT AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_totalprice > 100000 GROUP BY 1",
 )
-pipeline("lookup_anti", "customer supplier", [{"$lookup": {"from": "supplier", "localField": "c_custkey", "foreignField": "s_suppkey", "as": "s"}}, {"$match": {"s": {"$size": 0}}}, fields(c_custkey=1)], "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
+pipeline("lookup_anti", "customer nation", [{"$lookup": {"from": "nation", "localField": "c_custkey", "foreignField": "n_nationkey", "as": "s"}}, {"$match": {"s": {"$size": 0}}}, fields(c_custkey=1)], "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT n_nationkey FROM nation)")
 pipeline(
     "lookup_nested", "region nation supplier",
     [
@@ -429,9 +433,9 @@ pipeline(
 _A, _B = {"$split": ["$p_name", " "]}, {"$split": ["$p_type", " "]}
 pipeline(
     "expr_sets_objects", "part",
-    [fields(p_partkey=1, union={"$size": {"$setUnion": [_A, ["x", "x"]]}}, inter={"$size": {"$setIntersection": [_A, _A]}}, diff={"$size": {"$setDifference": [_A, ["x"]]}}, equal={"$setEquals": [_A, {"$reverseArray": [_A]}]}, subset={"$setIsSubset": [_A, {"$concatArrays": [_A, _B]}]},
+    [fields(p_partkey=1, union={"$size": {"$setUnion": [_A, ["x", "x"]]}}, inter={"$size": {"$setIntersection": [_A, ["widget", "small", "bolt"]]}}, diff={"$size": {"$setDifference": [_A, ["x"]]}}, equal={"$setEquals": [{"$reverseArray": [_A]}, ["small", "widget", "small"]]}, subset={"$setIsSubset": [_A, ["small", "large", "widget", "bolt"]]},
         pairs={"$size": {"$objectToArray": {"a": "$p_name", "b": "$p_type"}}}, back={"$getField": {"field": "k2", "input": {"$arrayToObject": [["k1", "$p_name"], ["k2", "$p_type"]]}}}, merged={"$getField": {"field": "b", "input": {"$mergeObjects": [{"a": 1, "b": "$p_name"}, None, {"b": "$p_type"}]}}})],
-    """WITH p AS (SELECT *, string_split(p_name, ' ') AS a FROM part) SELECT p_partkey, len(list_distinct(list_append(a, 'x')))::BIGINT AS union, len(list_distinct(a))::BIGINT AS inter, len(list_filter(list_distinct(a), lambda w: w <> 'x'))::BIGINT AS diff, true AS equal, true AS subset,
+    """WITH p AS (SELECT *, string_split(p_name, ' ') AS a FROM part) SELECT p_partkey, len(list_distinct(list_append(a, 'x')))::BIGINT AS union, len(list_filter(list_distinct(a), lambda w: w IN ('widget', 'small', 'bolt')))::BIGINT AS inter, len(list_filter(list_distinct(a), lambda w: w <> 'x'))::BIGINT AS diff, len(list_distinct(a)) = 2 AND list_has_all(a, ['small', 'widget']) AS equal, list_has_all(['small', 'large', 'widget', 'bolt'], a) AS subset,
        2::BIGINT AS pairs, p_type AS back, p_type AS merged FROM p""",
 )
 pipeline(
@@ -480,9 +484,152 @@ def _dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Database(spark, {"events": events})["events"].aggregate([{"$match": {"props.k": {"$gt": 50}}}, fields(event_id=1, k={"$add": ["$props.k", 0]}, t={"$type": "$props.k"}), {"$set": {"k": {"$toLong": "$k"}}}])
 
 
+pipeline(
+    "fill_linear", "events",
+    [
+        {"$set": {"v": {"$cond": [{"$eq": [{"$mod": ["$event_id", 3]}, 0]}, {"$multiply": ["$event_id", 2.0]}, None]}}},
+        {"$fill": {"partitionBy": "$user_id", "sortBy": {"event_id": 1}, "output": {"v": {"method": "linear"}}}},
+        fields(event_id=1, v={"$cond": [{"$eq": ["$v", None]}, None, {"$round": ["$v", 6]}]}),
+    ],
+    """WITH e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN event_id END AS k FROM events), r AS (SELECT *, min(k) OVER (PARTITION BY user_id) AS low, max(k) OVER (PARTITION BY user_id) AS high FROM e)
+       SELECT event_id, CASE WHEN event_id BETWEEN low AND high THEN event_id * 2.0::DOUBLE END AS v FROM r""",
+)
+pipeline(
+    "stage_project_paths", "customer",
+    [
+        {"$replaceWith": {"_id": "$c_custkey", "a": {"b": {"c": "$c_name", "d": "$c_acctbal"}, "e": "$c_nationkey"}, "f": 1}},
+        {"$project": {"a.b.c": 1, "a.e": 1}},
+        {"$project": {"_id": 1, "c": "$a.b.c", "e": "$a.e", "gone": {"$type": "$a.b.d"}, "f": {"$type": "$f"}}},
+    ],
+    "SELECT c_custkey AS _id, c_name AS c, c_nationkey AS e, 'missing' AS gone, 'missing' AS f FROM customer",
+)
+
+
 # commands
 
 
+@function("read_json_lines", "SELECT (props->>'$.k')::BIGINT AS k, count(*)::BIGINT AS n FROM events GROUP BY 1")
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON text, written and read with a schema."""
+    folder = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    read_tables(spark, sf_dir, ["events"])["events"].select("props").write.text(folder)
+    return Database(spark, {"e": read_json(spark, folder, "k long")})["e"].aggregate([{"$group": {"_id": "$k", "n": {"$sum": 1}}}, fields(k="$_id", n=1)])
+
+
+@function("command_insert", "SELECT c_custkey AS _id, c_name AS name FROM customer UNION ALL SELECT n_nationkey + 10000000, n_name FROM nation")
+def _insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table as the first rows, another as a delta beside them; a third that repeats keys is refused whole."""
+    db = _database(spark, sf_dir, ("customer", "nation"))
+    db["t"].insert(db["customer"].df.selectExpr("c_custkey AS _id", "c_name AS name"))
+    db["t"].insert(db["nation"].df.selectExpr("n_nationkey + 10000000 AS _id", "n_name AS name"))
+    try:
+        db["t"].insert(db["nation"].df.selectExpr("n_nationkey + 10000024 AS _id", "n_name AS name"))
+    except DuplicateKey:
+        return db["t"].df
+    raise AssertionError("a repeated key was inserted")
+
+
+@function("command_update_kinds", """SELECT n_nationkey AS _id, CASE WHEN n_nationkey = 7 THEN 70 ELSE n_regionkey END::INTEGER AS region, CASE WHEN n_nationkey = 7 OR n_regionkey = 4 THEN NULL WHEN n_regionkey = 2 THEN n_name || '!' ELSE n_name END AS name FROM nation
+       UNION ALL SELECT 99, 9, 'new'""")
+def _update_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replacement, an update by a pipeline, a field unset, and an upsert."""
+    db = _database(spark, sf_dir, ("nation",))
+    db["nation"].aggregate([{"$replaceWith": {"_id": "$n_nationkey", "region": "$n_regionkey", "name": "$n_name"}}, {"$out": "t"}])
+    db["t"].update({"region": 2}, [{"$set": {"name": {"$concat": ["$name", "!"]}}}], multi=True)
+    db["t"].update({"_id": 7}, [{"$set": {"name": "seven"}}])
+    db["t"].update({"_id": 7}, {"region": 70})
+    db["t"].update({"region": 4}, {"$unset": {"name": ""}}, multi=True)
+    db["t"].update({"_id": 99, "region": 9}, {"$set": {"name": "new"}}, upsert=True)
+    return db["t"].df
+
+
+@function("sink_merge_modes", """SELECT n_nationkey AS _id, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS tag, n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_regionkey END AS region FROM nation WHERE n_nationkey < 20""")
+def _merge_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields merged into documents that match, others discarded; a merge that must not match is refused."""
+    db = _database(spark, sf_dir, ("nation",))
+    db["nation"].aggregate([{"$match": {"n_nationkey": {"$lt": 20}}}, {"$replaceWith": {"_id": "$n_nationkey", "tag": "old", "name": "$n_name"}}, {"$out": "t"}])
+    db["nation"].aggregate([{"$match": {"n_nationkey": {"$mod": [2, 0]}}}, {"$replaceWith": {"_id": "$n_nationkey", "tag": "new", "region": "$n_regionkey"}}, {"$merge": {"into": "t", "whenMatched": "merge", "whenNotMatched": "discard"}}])
+    try:
+        db["nation"].aggregate([{"$match": {"n_nationkey": 3}}, {"$replaceWith": {"_id": "$n_nationkey", "tag": "bad"}}, {"$merge": {"into": "t", "whenMatched": "fail"}}])
+    except MergeError:
+        return db["t"].df
+    raise AssertionError("a merge that matches was not refused")
+
+
+def _told(spark: SparkSession, told: dict[str, Any]) -> DataFrame:
+    return spark.createDataFrame([(k, str(v)) for k, v in told.items()], "what string, told string")
+
+
+@function("command_catalog", """SELECT 'rows' AS what, (SELECT count(*) FROM nation)::VARCHAR AS told UNION ALL SELECT * FROM (VALUES ('created', 'empty nation t'), ('indexes', '_id_ n_regionkey_1'), ('dropped', '_id_'), ('renamed', 'nation u'), ('databases', 'other test'),
+       ('gone', 'True False'), ('after', ''), ('hello', 'True'), ('ping', '1.0'), ('build', '1.0'), ('sessions', '1.0'), ('parameters', 'authenticationMechanisms ok requireApiVersion'), ('fails', '91'), ('explained', 'True')) v(what, told)""")
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    db = _database(spark, sf_dir, ("nation",))
+    Database(spark, name="other", siblings=db.siblings)
+    db["nation"].aggregate([{"$replaceWith": {"_id": "$n_nationkey", "n_regionkey": "$n_regionkey"}}, {"$out": "t"}])
+    db.create("empty")
+    told: dict[str, Any] = {"rows": db["t"].count(), "created": " ".join(db.list_collections())}
+    db["t"].create_index({"n_regionkey": 1})
+    told["indexes"] = " ".join(i["name"] for i in db["t"].list_indexes())
+    db["t"].drop_index("n_regionkey_1")
+    told["dropped"] = " ".join(i["name"] for i in db["t"].list_indexes())
+    told["explained"] = "PushedFilters: [IsNotNull(n_regionkey), EqualTo(n_regionkey,1)]" in db["t"].explain([{"$match": {"n_regionkey": 1}}])
+    db.rename("t", "u")
+    db.drop("empty")
+    told |= {"renamed": " ".join(db.list_collections()), "databases": " ".join(db.list_databases()), "gone": f"{db.drop('u')} {db.drop('u')}"}
+    db.drop_database()
+    told |= {"after": " ".join(db.list_collections()), "hello": db.hello()["isWritablePrimary"], "ping": db.ping()["ok"], "build": db.build_info()["ok"], "sessions": db.kill_all_sessions()["ok"], "parameters": " ".join(sorted(db.get_parameter()))}
+    db.configure_fail_point("failCommand", {"times": 1}, {"failCommands": ["count"], "errorCode": 91})
+    try:
+        db["nation"].count()
+    except FailPointEnabled as e:
+        told["fails"] = e.code
+    return _told(spark, told)
+
+
+@function("command_cursor", "SELECT (row_number() OVER (ORDER BY n_nationkey) - 1) // 7 AS batch, n_nationkey AS id FROM nation QUALIFY batch < 3")
+def _cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three batches of a cursor, which then is killed."""
+    cursor = _database(spark, sf_dir, ("nation",))["nation"].cursor([{"$sort": {"n_nationkey": 1}}], batch=7)
+    rows = [(b, r["n_nationkey"]) for b in range(3) for r in cursor.get_more()]
+    cursor.kill()
+    return spark.createDataFrame(rows + [(9, r["n_nationkey"]) for r in cursor.get_more()], "batch long, id int")
+
+
+@function("change_stream_images", """SELECT n_nationkey AS id, n_regionkey AS before, n_regionkey + 10 AS after, (n_regionkey + 10)::VARCHAR AS updated FROM nation WHERE n_regionkey = 1""")
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images before and after, in a stream that goes on after the last event of the first write."""
+    db = _database(spark, sf_dir, ("nation",))
+    db["t"].insert(db["nation"].df.selectExpr("n_nationkey AS _id", "n_regionkey AS region"))
+    last = db["t"].aggregate([{"$changeStream": {}}]).agg(F.max("_id.seq")).first()[0]
+    db["t"].update({"region": 1}, {"$inc": {"region": 10}}, multi=True)
+    events = db["t"].aggregate([{"$changeStream": {"resumeAfter": {"seq": last}, "fullDocument": "required", "fullDocumentBeforeChange": "required"}}])
+    whole = lambda c, path: F.try_variant_get(c, path, "int")
+    updated = F.try_variant_get("updateDescription", "$.updatedFields.region", "string")
+    return events.select(whole("documentKey", "$._id").alias("id"), whole("fullDocumentBeforeChange", "$.region").alias("before"), whole("fullDocument", "$.region").alias("after"), updated.alias("updated"))
+
+
+@function("errors", """SELECT * FROM (VALUES ('stage', 'UnsupportedStage'), ('operator', 'UnsupportedOperator'), ('two stages in one', 'InvalidStage'), ('sort', 'InvalidStage'), ('limit', 'InvalidStage'), ('sample', 'InvalidStage'), ('mixed', 'MixedProjection'),
+       ('update', 'InvalidUpdate'), ('id', 'InvalidUpdate'), ('index', 'InvalidArgument'), ('numbers', 'ExpectedNumeric'), ('merge', 'InvalidStage'), ('sibling', 'InvalidArgument')) v(what, told)""")
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is refused, and by which error, before any row is read."""
+    db = _database(spark, sf_dir, ("nation",))
+    c = db["nation"]
+    asked = {
+        "stage": lambda: c.aggregate([{"$absent": {}}]), "operator": lambda: c.aggregate([fields(x={"$absent": 1})]), "two stages in one": lambda: c.aggregate([{"$limit": 1, "$skip": 1}]),
+        "sort": lambda: c.aggregate([{"$sort": {"n_name": 2}}]), "limit": lambda: c.aggregate([{"$limit": 1.5}]), "sample": lambda: c.aggregate([{"$sample": {"size": 0}}]), "mixed": lambda: c.aggregate([{"$project": {"n_name": 1, "n_regionkey": 0}}]),
+        "update": lambda: c.update({}, {"$push": {"a": 1}}), "id": lambda: c.update({}, {"$set": {"_id": 1}}), "index": lambda: c.drop_index("_id_"), "numbers": lambda: c.aggregate([fields(x={"$add": ["$n_name", 1]})]),
+        "merge": lambda: c.aggregate([{"$merge": {"into": "t", "whenMatched": "fail", "whenNotMatched": "discard"}}]), "sibling": lambda: db.sibling("none"),
+    }
+    told = {}
+    for what, ask in asked.items():
+        try:
+            ask()
+            told[what] = "nothing"
+        except QueryError as e:
+            told[what] = type(e).__name__
+    return _told(spark, told)
+
+
 @function("command_find", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_custkey LIMIT 10 OFFSET 3")
 def _find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _database(spark, sf_dir, ("customer",))["customer"].find({"c_mktsegment": "BUILDING"}, {"c_custkey": 1, "c_name": 1}, {"c_acctbal": -1, "c_custkey": 1}, 3, 10)
@@ -533,7 +680,8 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return db["t"].aggregate([{"$changeStream": {"fullDocument": "updateLookup"}}, {"$changeStreamSplitLargeEvent": {}}, {"$group": {"_id": "$operationType", "n": {"$sum": 1}}}, fields(op="$_id", n=1)])
 
 
-@function("system_stages")
+@function("system_stages", """SELECT * FROM (VALUES ('$collStats', 1), ('$indexStats', 1), ('$planCacheStats', 0), ('$currentOp', 1), ('$listCatalog', 1), ('$listClusterCatalog', 1), ('$listCachedAndActiveUsers', 0),
+       ('$listLocalSessions', 0), ('$listSessions', 0), ('$listSampledQueries', 0), ('$listSearchIndexes', 0), ('$querySettings', 0), ('$listMqlEntities', 44)) v(stage, n)""")
 def _system(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows each stage that reports on the engine gives."""
     db = _database(spark, sf_dir, ("nation",))
