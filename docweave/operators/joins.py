@@ -46,7 +46,7 @@ def _keys(v: Val) -> tuple[Val, bool]:
 def lookup(spec: Any, frame: Frame, context: Context) -> Frame:
     if not isinstance(spec, dict) or not isinstance(spec.get("as"), str):
         raise InvalidStage("$lookup needs as")
-    allowed = {"from", "localField", "foreignField", "as", "let", "pipeline", "__join"}
+    allowed = {"from", "localField", "foreignField", "as", "let", "pipeline", "__join", "__fields"}
     if set(spec) - allowed:
         raise InvalidStage("$lookup: unknown option")
     both = "localField" in spec and "foreignField" in spec
@@ -60,6 +60,10 @@ def lookup(spec: Any, frame: Frame, context: Context) -> Frame:
     if "pipeline" in spec:
         return _lookup_pipeline(spec, frame, context, both)
     foreign = _foreign(spec["from"], context)
+    if "__fields" in spec:  # later stages read no others
+        kept = {*spec["__fields"], spec["foreignField"].split(".")[0]}
+        names = [c for c in foreign.df.columns if c in kept] or foreign.df.columns[:1]
+        foreign = Frame(foreign.df.select(*map(quoted, names)))
     return _lookup_equal(frame, foreign.df, spec["localField"], spec["foreignField"], spec["as"], context, spec.get("__join"))
 
 

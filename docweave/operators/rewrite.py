@@ -23,12 +23,90 @@ def rewritten(stages: Stages) -> Stages:
             # the array stays, as the field is still there: empty for anti, filled for some
             out.append(("$lookup", {**spec, "__join": kind}))
             i += 1
+        elif name == "$lookup" and _plain(spec) and (read := _read_later(stages[i + 1 :], spec["as"])) is not None:
+            out.append(("$lookup", {**spec, "__fields": sorted(read)}))
         else:
             out.append((name, spec))
         i += 1
     return out
 
 
+def _read_later(stages: Stages, field: str) -> set[str] | None:
+    """The fields of an array of documents that filters read up to the projection or group that ends it; None if more of it may be read."""
+    read: set[str] = set()
+    if field == "_id":
+        return None
+    for name, spec in stages:
+        if name == "$match":
+            used = _filtered(spec, field)
+        elif name == "$group" or name == "$project" and _included(spec) and not any(k.startswith(f"{field}.") or k == field and not _computed(v) for k, v in spec.items()):
+            used = _used(spec, field)
+            return None if used is None else read | used
+        else:
+            return None
+        if used is None:
+            return None
+        read |= used
+    return None
+
+
+def _computed(v: Any) -> bool:
+    """Whether a projection gives a field a new value."""
+    return isinstance(v, str) or isinstance(v, dict) and len(v) == 1 and next(iter(v)).startswith("$")
+
+
+def _included(spec: Any) -> bool:
+    """Whether a projection names what stays."""
+    return isinstance(spec, dict) and any(k != "_id" and (v is not False and v != 0) for k, v in spec.items()) and not any(k != "_id" and (v is False or v == 0) for k, v in spec.items())
+
+
+def _filtered(spec: Any, field: str) -> set[str] | None:
+    """What a filter reads of the array: fields on paths and in elements; None where it sees whole documents."""
+    if not isinstance(spec, dict):
+        return None
+    read: set[str] = set()
+    for key, test in spec.items():
+        if key in ("$and", "$or", "$nor") and isinstance(test, list):
+            parts = [_filtered(s, field) for s in test]
+        elif key.startswith("$"):
+            parts = [_used(test, field)]
+        elif key.startswith(field + "."):
+            parts = [_named(key)]
+        elif key != field:
+            parts = [set()]
+        elif isinstance(test, dict) and set(test) == {"$elemMatch"} and isinstance(test["$elemMatch"], dict) and not any(k.startswith("$") for k in test["$elemMatch"]):
+            parts = [{k.split(".")[0] for k in test["$elemMatch"]}]
+        else:
+            return None
+        if None in parts:
+            return None
+        read = read.union(*parts)
+    return read
+
+
+def _named(path: str) -> set[str] | None:
+    """The field of the elements that a path goes on to; None where it names a place in the array."""
+    name = path.split(".")[1]
+    return None if name.isdigit() else {name}
+
+
+def _used(e: Any, field: str) -> set[str] | None:
+    """What an expression reads of the array: fields on paths, nothing for its size; None where it sees whole documents."""
+    if isinstance(e, str):
+        if e.startswith("$$") or e in (field, f"${field}"):
+            return None
+        return _named(e) if e.startswith(f"${field}.") else set()
+    if isinstance(e, dict):
+        if e == {"$size": f"${field}"}:
+            return set()
+        parts = [_used(v, field) for v in e.values()]
+    elif isinstance(e, list):
+        parts = [_used(v, field) for v in e]
+    else:
+        return set()
+    return None if None in parts else set().union(*parts)
+
+
 def _bare(spec: Any) -> Any:
     """A filter without its comment, which only the top level may hold."""
     return {k: v for k, v in spec.items() if k != "$comment"} if isinstance(spec, dict) else spec
