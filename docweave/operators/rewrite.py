@@ -71,7 +71,7 @@ def _filtered(spec: Any, field: str) -> set[str] | None:
         elif key.startswith("$"):
             parts = [_used(test, field)]
         elif key.startswith(field + "."):
-            parts = [_named(key)]
+            parts = [{key.split(".")[1]}]
         elif key != field:
             parts = [set()]
         elif isinstance(test, dict) and set(test) == {"$elemMatch"} and isinstance(test["$elemMatch"], dict) and not any(k.startswith("$") for k in test["$elemMatch"]):
@@ -84,18 +84,12 @@ def _filtered(spec: Any, field: str) -> set[str] | None:
     return read
 
 
-def _named(path: str) -> set[str] | None:
-    """The field of the elements that a path goes on to; None where it names a place in the array."""
-    name = path.split(".")[1]
-    return None if name.isdigit() else {name}
-
-
 def _used(e: Any, field: str) -> set[str] | None:
     """What an expression reads of the array: fields on paths, nothing for its size; None where it sees whole documents."""
     if isinstance(e, str):
         if e.startswith("$$") or e in (field, f"${field}"):
             return None
-        return _named(e) if e.startswith(f"${field}.") else set()
+        return {e.split(".")[1]} if e.startswith(f"${field}.") else set()
     if isinstance(e, dict):
         if e == {"$size": f"${field}"}:
             return set()
